@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_store
+from . import token_store, warc
 from .common import load
 
 
@@ -12,8 +12,27 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(load(spark, sf_dir, "documents"))
 
 
+def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(load(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op10_warc_chunks": op10_warc_chunks,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_warc_chunks": """
+        with p as (
+            select page_id, encode(coalesce(html, '')) as payload from pages
+        ), d as (
+            select page_id, octet_length(payload) as payload_bytes, sha1(payload) as payload_digest from p
+        ), g as (
+            select *, max(page_id) over (partition by payload_digest) as leader from d
+        )
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 1000 and page_id is distinct from leader and leader is not null then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and page_id is distinct from leader and leader is not null then leader end as refers_to
+        from g
+    """,
+}
