@@ -13,18 +13,21 @@ columns are ignored. A key that was never written is answered by no row unless i
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, mix64, scratch, ship, sliced, split_path, width
+from .common import mix64, scratch, ship, sliced, split_path, width
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied, which costs time only.
 WORD_MEMORY = 400_000
@@ -42,15 +45,20 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, each distinct white-space-free piece encoded once.
 
     ASCII white space ends a piece in this vocabulary's normaliser and pre-tokeniser, and neither looks across it, so
-    the ids of a text are the ids of its pieces in a row.
+    the ids of a text are the ids of its pieces in a row. The pre-tokeniser always cuts between a letter and a stop, and
+    the normaliser lower-cases, so pieces are cut and lower-cased first (not where a special token's string may stand:
+    those are found in the text as it is). Pieces are told apart column-wise; the two halves of the memory take turns, so
+    that frequent pieces stay.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -58,41 +66,60 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.split() for t in texts]
-        known = self.known
-        new = set().union(*pieces).difference(known) if pieces else set()
-        if len(known) + len(new) > WORD_MEMORY:
-            known.clear()
-            new = set().union(*pieces)
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, got, strict=True))
-        return [b"".join([known[w] for w in p]) for p in pieces]
+    def _ids(self, words: list[str]) -> list[bytes]:
+        young, old, kind = self.young, self.old, "H" if self.dtype.itemsize == 2 else "I"
+        new = [w for w in words if w not in young and w not in old]
+        for i in range(0, len(new), 5_000):
+            part = new[i : i + 5_000]
+            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            young.update((w, array(kind, e.ids).tobytes()) for w, e in zip(part, got, strict=True))
+        found = [young.get(w) or old.get(w, b"") for w in words]
+        if len(young) > WORD_MEMORY // 2:
+            self.old, self.young = young, {}
+        return found
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has; nulls are empty."""
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        column = column.fill_null("")
+        if not pc.any(pc.match_substring(column, "<|")).as_py():
+            column = pc.replace_substring_regex(pc.ascii_lower(column), "([a-z])([.,;:!?])", r"\1 \2")
+        lists = pc.ascii_split_whitespace(column)
+        pieces = lists.flatten().dictionary_encode()
+        blobs = self._ids(pieces.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+        flat, starts = np.frombuffer(b"".join(blobs), self.dtype), np.cumsum(sizes) - sizes
+        index = pieces.indices.to_numpy()
+        each = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(starts[index] - ends[:-1], each) + np.arange(ends[-1])] if len(flat) else flat
+        bounds = lists.offsets.to_numpy().astype(np.int64) - (lists.offsets[0].as_py() if len(lists) else 0)
+        return ids, np.diff(ends[bounds])
 
 
 def _write_shards(path: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
-        end, item = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
         shard, at, name, out = TaskContext.get().partitionId(), 0, f"{path}/ids/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids", None
         last, ordinal = (), 0
         fs, local = split_path(name)
-        for b in sliced(batches, "text", 8 << 20):
+        for b in sliced(batches, "text", 4 << 20):
             if out is None:
                 fs.create_dir(local.rpartition("/")[0], recursive=True)
-                out = fs.open_output_stream(local)
-            keys, rows = b.column(0).to_pylist(), []
-            for key, ids in zip(keys, encoder.encode(byte_texts(b.column(1))), strict=True):
+                out = fs.open_output_stream(local, compression=None)
+            ids, counts = encoder.encode(b.column(1))
+            out.write(np.insert(ids, np.cumsum(counts), end_id).tobytes())
+            counts = counts + 1
+            rows = []
+            for key in b.column(0).to_pylist():
                 ordinal = ordinal + 1 if last == (key,) else 0
                 last = (key,)
-                n = len(ids) // item + 1
-                out.write(ids + end)
-                rows.append((key, ordinal, shard, name, at, n))
-                at += n
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "ord", "shard", "path", "offset", "n_tokens"])
+                rows.append(ordinal)
+            n = b.num_rows
+            offsets = at + np.cumsum(counts) - counts
+            at += int(counts.sum())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array([name] * n), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "ord", "shard", "path", "offset", "n_tokens"])
         if out is not None:
             out.close()
 
