@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_store, warc, wu_manber
+from . import secrets, token_store, warc, wu_manber
 from .common import load
 
 
@@ -12,6 +12,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(load(spark, sf_dir, "documents"))
 
 
+def op6_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(load(spark, sf_dir, "documents"))
+
+
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -22,6 +26,7 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op6_secret_automaton": op6_secret_automaton,
     "op9_wu_manber": op9_wu_manber,
     "op10_warc_chunks": op10_warc_chunks,
 }
