@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, scratch, ship, sliced, split_path, width
 
-#: Words whose ids a worker remembers; beyond it the memory is emptied, which costs time only.
-WORD_MEMORY = 400_000
+#: Pieces whose ids a worker remembers (about 200 bytes each); beyond it the older half is forgotten, which costs time only.
+WORD_MEMORY = 900_000
 #: Keys per index part, about.
 PART_KEYS = 1 << 16
 #: Shard bytes read at once when rows are read back.
