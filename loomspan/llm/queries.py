@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, token_store, warc, wu_manber
+from . import progressive_jpeg, secrets, token_store, warc, wu_manber
 from .common import load
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.media_round_trip(load(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(load(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_progressive_jpeg": op1_progressive_jpeg,
     "op2_token_store": op2_token_store,
     "op6_secret_automaton": op6_secret_automaton,
     "op9_wu_manber": op9_wu_manber,
