@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import progressive_jpeg, secrets, token_store, warc, wu_manber
+from . import progressive_jpeg, secrets, simhash, token_store, warc, wu_manber
 from .common import load
 
 
@@ -16,6 +16,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(load(spark, sf_dir, "documents"))
 
 
+def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(load(spark, sf_dir, "documents"))
+
+
 def op6_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(load(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
     "op2_token_store": op2_token_store,
+    "op4_simhash_anchors": op4_simhash_anchors,
     "op6_secret_automaton": op6_secret_automaton,
     "op9_wu_manber": op9_wu_manber,
     "op10_warc_chunks": op10_warc_chunks,
