@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, progressive_jpeg, secrets, simhash, token_store, warc, wu_manber
+from . import mixing, progressive_jpeg, quality_gam, secrets, simhash, token_store, warc, wu_manber
 from .common import load
 
 
@@ -24,6 +24,10 @@ def op6_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(load(spark, sf_dir, "documents"))
 
 
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op2_token_store": op2_token_store,
     "op4_simhash_anchors": op4_simhash_anchors,
     "op6_secret_automaton": op6_secret_automaton,
+    "op7_quality_gam": op7_quality_gam,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_wu_manber": op9_wu_manber,
     "op10_warc_chunks": op10_warc_chunks,
