@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, progressive_jpeg, quality_gam, secrets, simhash, token_store, warc, wu_manber
+from . import mixing, progressive_jpeg, quality_gam, secrets, simhash, token_store, url_filter, warc, wu_manber
 from .common import load
 
 
@@ -20,6 +20,10 @@ def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(load(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(load(spark, sf_dir, "pages"))
+
+
 def op6_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(load(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
     "op2_token_store": op2_token_store,
     "op4_simhash_anchors": op4_simhash_anchors,
+    "op5_url_filter": op5_url_filter,
     "op6_secret_automaton": op6_secret_automaton,
     "op7_quality_gam": op7_quality_gam,
     "op8_entropy_mix": op8_entropy_mix,
