@@ -27,75 +27,33 @@ RATE = 0.5
 DECAY = 0.002
 CUT = 0.5
 
-#: Labelled urls of our own invention: pages that a corpus wants, and pages that it doesn't.
+#: The labelled url table's names, of our own invention: sites that a corpus wants, and sites that it doesn't. Domains and
+#: paths go round alike for both, so the labels tell names and page kinds apart and not domains or languages.
 WANTED = """
-https://www.rivernews.example.com/en/1204.html
-https://rivernews.example.org/en/88231?page=2
-https://blog.hillside.example.com/en/7716
-https://blog.hillside.example.net/en/5512/
-https://docs.lantern.example.net/en/manual/index.html
-https://docs.lantern.example.com/guide/install
-https://wiki.meadow.example.org/wiki/River
-http://wiki.meadow.example.com/de/3301
-https://library.college.example.com/catalog/item/4412
-https://www.college.example.net/research/papers/2021
-http://m.townpaper.example.org/en/9912/
-https://m.townpaper.example.com/fr/3341.html
-https://museum.example.com/collections/ceramics
-https://forum.birdwatch.example.com/es/12045?page=2
-https://recipes.kitchen.example.com/en/2208
-http://travel.coast.example.com/es/4471.html
-https://www.parliament.example.net/debates/2020/may
-https://health.county.example.com/en/6120
-https://stories.quill.example.net/en/8119.html
-https://lessons.school.example.com/fr/7314
-http://archive.letters.example.org/en/1871/
-https://www.science.example.org/de/5540
-https://code.workshop.example.net/en/tutorial/loops
-https://poetry.example.com/fr/2917/
-https://www.weather.example.org/en/report/2022
-http://history.example.com/en/3003
-https://www.hikers.example.com/en/4127
-https://sport.daily.example.org/es/4401
-https://music.notes.example.net/en/theory/scales
-http://www.garden.example.com/de/6650
-https://film.review.example.net/en/2018
-https://opera.example.com/en/9035.html
+rivernews hillside lantern meadow college townpaper museum birdwatch kitchen coast parliament county quill school letters
+science workshop poetry weather history hikers daily notes garden film opera theatre harbour thistle orchard thornton easter
 """.split()
 UNWANTED = """
-http://ads-track.example.com/en/991
-http://m.ads-track.example.net/de/77120
-http://ads.banner.example.net/serve/banner.gif?zone=4
-http://track.pixel.example.org/pixel/collect?uid=1
-https://click.tracker.example.net/redirect?to=shop
-http://adserver.example.org/en/popup.js
-https://casino-bonus.example.net/en/6613
-http://www.casino-royal.example.com/bonus/slots
-http://bet-win-cash.example.org/en/3314.html
-https://cheap-meds-online.example.net/fr/9917
-http://buy-cheap-meds.example.com/order/pills
-http://free-download-crack.example.org/keygen/serial
-http://crack-warez.example.com/en/5518/
-https://xxx-hot-cams.example.org/en/2241
-http://adult-cams.example.net/xxx/video
-https://loans-fast-cash.example.com/en/8013
-http://seo-links-cheap.example.org/de/4407
-https://spam-offer.example.com/en/1302
-http://spam-links.example.org/en/7731.html
-http://popunder-ads.example.net/popunder/load
-http://telemetry-track.example.org/en/3320
-https://affiliate-click.example.com/fr/2260
-http://lottery-winner.example.org/en/8894
-http://free-prize-win.example.com/es/6027
-http://counter.stats-track.example.net/hit/count.gif
-https://promo-banner.example.org/en/4415/
-http://doorway-farm.example.net/en/5521
-http://replica-watches.example.com/buy/cheap
-https://hot-deals-spam.example.org/en/7718
-http://link-farm.example.com/es/3029
-https://ad-click-pay.example.org/en/9951
-http://malware-update.example.net/download/setup.exe
+ads-track banner-ads click-ads pixel-track casino-bonus casino-royal bet-win free-spins free-prize buy-pills cheap-meds pills-shop
+crack-warez keygen-free hot-cams xxx-cams fast-loans payday-cash seo-links link-farm spam-offer spam-links popunder-ads win-prize
+lottery-win replica-shop hot-deals torrent-free ad-click malware-update bets-online doorway-farm
 """.split()
+WANTED_PAGES = ("article", "wiki", "archive", "lesson")
+UNWANTED_PAGES = ("click", "banner", "redirect", "popup")
+DOMAINS = ("example.com", "example.org", "example.net")
+FOLDERS = ("en", "de", "fr", "es")
+FRONTS = ("", "www.", "m.", "blog.")
+
+
+def table_urls() -> list[tuple[str, int]]:
+    """(url, 1 to block) of the training table."""
+    rows = []
+    for y, names, kinds in ((0, WANTED, WANTED_PAGES), (1, UNWANTED, UNWANTED_PAGES)):
+        for i, name in enumerate(names):
+            for k, domain in enumerate(DOMAINS):
+                page = f"{kinds[i % len(kinds)]}/{41 * i + k}" if k == 2 else f"{1000 + 41 * i + k}"
+                rows.append((f"http://{FRONTS[(i + k) % 4]}{name}.{domain}/{FOLDERS[(i + 2 * k) % 4]}/{page}", y))
+    return rows
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -133,7 +91,7 @@ def with_buckets(df: DataFrame) -> DataFrame:
 
 def labelled(spark: SparkSession) -> DataFrame:
     """The training table: id, url, y (1: block)."""
-    urls = [(i, u, y) for i, (u, y) in enumerate([(u, 0) for u in WANTED] + [(u, 1) for u in UNWANTED])]
+    urls = [(i, u, y) for i, (u, y) in enumerate(table_urls())]
     return spark.sql("select * from values " + ", ".join(f"({i}, '{u}', {y}.0D)" for i, u, y in urls) + " as t(id, url, y)")
 
 
