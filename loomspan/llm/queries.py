@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, progressive_jpeg, quality_gam, secrets, simhash, token_store, url_filter, warc, wu_manber
+from . import attention_lm, mixing, progressive_jpeg, quality_gam, secrets, simhash, token_store, url_filter, warc, wu_manber
 from .common import load
 
 
@@ -16,6 +16,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(load(spark, sf_dir, "documents"))
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(load(spark, sf_dir, "documents"))
+
+
 def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(load(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
     "op2_token_store": op2_token_store,
+    "op3_attention_lm": op3_attention_lm,
     "op4_simhash_anchors": op4_simhash_anchors,
     "op5_url_filter": op5_url_filter,
     "op6_secret_automaton": op6_secret_automaton,
