@@ -28,8 +28,6 @@ from .common import byte_texts, ship, sliced, width, written
 SHINGLE = 3
 THRESHOLD = 3
 SEED = 42
-#: The near-duplicate stage's shingles; see README.
-STAGE_SHINGLE = 5
 #: Rows of an anchor compared by neighbouring positions; larger anchors by bytes of the other half.
 LAGS = 48
 #: Rows of anchors compared together.
@@ -251,7 +249,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The documents of which each group's first stays: that with the smallest doc_id (and hash of its text), once."""
     near = written(near_duplicates(docs, size), "near")
     first = near.groupBy(F.col("component_id").alias("__c")).agg(F.min(F.struct("doc_id", "row_hash")).alias("__k"))
