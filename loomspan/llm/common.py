@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -93,8 +95,28 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_owner: list[str] = [""]
+_caches: list = []
+
+
+def on_change(forget) -> None:  # noqa: ANN001
+    """Call forget when a worker, which outlives its tasks, turns to another operator."""
+    _caches.append(forget)
+
+
+def turn_to(owner: str) -> None:
+    if _owner[0] != owner:
+        if _owner[0]:
+            for forget in _caches:
+                forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _owner[0] = owner
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, most_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about most_bytes of text, so a worker's memory doesn't follow the batch size."""
+    turn_to(sys._getframe(1).f_globals["__name__"])  # the module whose task reads
     for b in batches:
         n, i = b.num_rows, 0
         if not n:

@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, scratch, ship, sliced, split_path, width
+from .common import mix64, on_change, scratch, ship, sliced, split_path, width
 
-#: Pieces whose ids a worker remembers (about 200 bytes each); beyond it the older half is forgotten, which costs time only.
-WORD_MEMORY = 900_000
+#: Pieces whose ids a worker remembers in arrays (about 30 bytes each); beyond it the older half goes,
+#: which costs time only. New ones gather in a dict first.
+WORD_MEMORY = 1_200_000
+YOUNG_WORDS = 120_000
 #: Keys per index part, about.
 PART_KEYS = 1 << 16
 #: Shard bytes read at once when rows are read back.
@@ -47,8 +49,7 @@ class WordEncoder:
     ASCII white space ends a piece in this vocabulary's normaliser and pre-tokeniser, and neither looks across it, so
     the ids of a text are the ids of its pieces in a row. The pre-tokeniser always cuts between a letter and a stop, and
     the normaliser lower-cases, so pieces are cut and lower-cased first (not where a special token's string may stand:
-    those are found in the text as it is). Pieces are told apart column-wise; the two halves of the memory take turns, so
-    that frequent pieces stay.
+    those are found in the text as it is). Pieces are told apart and looked up column-wise.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,26 +58,53 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.forget()
+
+    def forget(self) -> None:
         self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = pa.array([], pa.string())
+        self.flat, self.starts = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
         if path not in _encoders:
             _encoders[path] = cls(path)
+            on_change(_encoders[path].forget)
         return _encoders[path]
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        young, old, kind = self.young, self.old, "H" if self.dtype.itemsize == 2 else "I"
-        new = [w for w in words if w not in young and w not in old]
+    def _settle(self) -> None:
+        """Move the young pieces to the arrays, whose older half goes when there are too many."""
+        words, flat, starts = self.words, self.flat, self.starts
+        if len(words) + len(self.young) > WORD_MEMORY:
+            cut = len(words) // 2
+            words, flat, starts = pa.concat_arrays([words[cut:]]), flat[starts[cut] :], starts[cut:] - starts[cut]
+        sizes = np.fromiter(map(len, self.young.values()), np.int64, len(self.young)) // self.dtype.itemsize
+        self.words = pa.concat_arrays([words, pa.array(list(self.young), pa.string())])
+        self.flat = np.concatenate([flat, np.frombuffer(b"".join(self.young.values()), self.dtype)])
+        self.starts = np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
+        self.young = {}
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces in a row, and how many each has."""
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        rest = np.flatnonzero(place < 0)
+        young, kind = self.young, "H" if self.dtype.itemsize == 2 else "I"
+        names = words.take(pa.array(rest)).to_pylist()
+        new = [w for w in names if w not in young]
         for i in range(0, len(new), 5_000):
             part = new[i : i + 5_000]
             got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             young.update((w, array(kind, e.ids).tobytes()) for w, e in zip(part, got, strict=True))
-        found = [young.get(w) or old.get(w, b"") for w in words]
-        if len(young) > WORD_MEMORY // 2:
-            self.old, self.young = young, {}
-        return found
+        blobs = [young[w] for w in names]
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        own = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+        old = np.flatnonzero(place >= 0)
+        sizes[rest], starts[rest] = own, len(self.flat) + np.cumsum(own) - own
+        sizes[old], starts[old] = np.diff(self.starts)[place[old]], self.starts[place[old]]
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(blobs), self.dtype)])
+        if len(young) > YOUNG_WORDS:
+            self._settle()
+        return gathered(flat, starts, sizes), sizes
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has; nulls are empty."""
@@ -87,15 +115,17 @@ class WordEncoder:
             column = pc.replace_substring_regex(pc.ascii_lower(column), "([a-z])([.,;:!?])", r"\1 \2")
         lists = pc.ascii_split_whitespace(column)
         pieces = lists.flatten().dictionary_encode()
-        blobs = self._ids(pieces.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
-        flat, starts = np.frombuffer(b"".join(blobs), self.dtype), np.cumsum(sizes) - sizes
+        flat, sizes = self.ids_of(pieces.dictionary)
         index = pieces.indices.to_numpy()
         each = sizes[index]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(starts[index] - ends[:-1], each) + np.arange(ends[-1])] if len(flat) else flat
+        ids = gathered(flat, (np.cumsum(sizes) - sizes)[index], each)
         bounds = lists.offsets.to_numpy().astype(np.int64) - (lists.offsets[0].as_py() if len(lists) else 0)
-        return ids, np.diff(ends[bounds])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(each)])[bounds])
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ranges of flat one after another."""
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
 def _write_shards(path: str, tokenizer: str, end_id: int):
@@ -104,7 +134,7 @@ def _write_shards(path: str, tokenizer: str, end_id: int):
         shard, at, name, out = TaskContext.get().partitionId(), 0, f"{path}/ids/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids", None
         last, ordinal = (), 0
         fs, local = split_path(name)
-        for b in sliced(batches, "text", 4 << 20):
+        for b in sliced(batches, "text", 8 << 20):
             if out is None:
                 fs.create_dir(local.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(local, compression=None)
