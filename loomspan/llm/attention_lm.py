@@ -6,8 +6,8 @@ file in the shared folder, which bounds what a worker holds; the base's sums for
 word, occurrences) with the counts.
 
 The model reads subword ids of a public vocabulary: embeddings, one causal attention head with a bias by distance, a residual
-sum, and an adaptive softmax over CLASSES classes (the most frequent ids each, the others in classes of about equal mass with their
-share of the class as counted). It starts from the low-rank factors of the bigram log ratios of all training windows and
+sum, and an adaptive softmax over CLASSES classes (the most frequent ids each, the others in clusters by what stands beside them in
+words, with their share of the class as counted). It starts from the low-rank factors of the bigram log ratios of all training windows and
 is trained by local Adam on every task's windows with parameters averaged between rounds. Training windows are one in STRIDE of the
 runs of RUN_WORDS words of every training document, so they grow with the corpus. A text is scored in windows of SPAN ids
 that overlap by SPAN - STEP: each id is scored once, with SPAN - STEP to SPAN ids of context where the text has them; all
@@ -34,18 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, ship, sliced, split_path, width, written
-from .token_store import WordEncoder, default_tokenizer
+from .token_store import WordEncoder, default_tokenizer, gathered
 
 HELD_MOD, HELD_REST = 7, 2
 #: Words held by every worker, at most, and the longest of them in bytes.
 HOT_WORDS, HOT_BYTES = 1 << 18, 64
 DIM = 32
-CLASSES, SINGLE = 256, 224
+CLASSES, SINGLE = 256, 192
 #: Ids with an embedding of their own; the others share RARE embeddings.
 INPUTS, RARE = 2048, 64
-SPAN, STEP = 48, 36
-STRIDE, RUN_WORDS = 24, 28
-ROUNDS, LEAST_STEPS, BATCH, RATE = 2, 120, 96, 0.01
+SPAN, STEP = 32, 24
+STRIDE, RUN_WORDS = 16, 20
+ROUNDS, LEAST_STEPS, BATCH, RATE = 2, 250, 48, 0.01
 END = b"\n"  # not a word, as it is white space
 
 
@@ -139,16 +139,44 @@ class Shape:
     rows: np.ndarray
 
 
+def _clusters(hot: Hot, chosen: np.ndarray, heads: np.ndarray, mass: np.ndarray, k: int, size: int) -> np.ndarray:
+    """k groups of the chosen ids by what stands beside them in frequent words (k-means on root shares, weighted by mass)."""
+    place, head = np.full(size, -1), np.full(size, -1)
+    place[chosen], head[heads] = np.arange(len(chosen)), np.arange(len(heads))
+    weight = np.repeat(hot.counts, np.diff(hot.starts)).astype(np.float64)
+    word = np.repeat(np.arange(len(hot.counts)), np.diff(hot.starts))
+    seen = np.zeros((len(chosen), 2 * len(heads) + 2))
+    inner = word[1:] == word[:-1] if len(word) else np.zeros(0, bool)
+    for here, there, off in ((hot.flat[1:], hot.flat[:-1], 0), (hot.flat[:-1], hot.flat[1:], len(heads))):
+        use = inner & (place[here] >= 0)
+        edge = use & (head[there] >= 0)
+        np.add.at(seen, (place[here[edge]], off + head[there[edge]]), weight[1:][edge])
+    for side, first in ((hot.starts[:-1], 2 * len(heads)), (hot.starts[1:] - 1, 2 * len(heads) + 1)):
+        filled = np.diff(hot.starts) > 0
+        at = hot.flat[side[filled]]
+        use = place[at] >= 0
+        np.add.at(seen, (place[at[use]], first), hot.counts[filled][use].astype(np.float64))
+    x = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1))
+    rng = np.random.default_rng(7)
+    centre = x[np.sort(rng.choice(len(x), k, replace=False, p=mass / mass.sum()))]
+    for _ in range(12):
+        group = np.argmin((centre * centre).sum(axis=1)[None, :] - 2 * x @ centre.T, axis=1)
+        for g in range(k):
+            if (own := group == g).any():
+                centre[g] = np.average(x[own], axis=0, weights=mass[own])
+    return group
+
+
 def shape_of(hot: Hot, ends: int, size: int) -> Shape:
     n = np.bincount(hot.flat, np.repeat(hot.counts, np.diff(hot.starts)), minlength=size)
     end = size - 1
     n[end] = ends
     order = np.lexsort((np.arange(size), -n))
-    rest = n[order[SINGLE:]] + 0.5
-    classes = np.empty(size, np.int64)
-    classes[order[:SINGLE]] = np.arange(SINGLE)
-    classes[order[SINGLE:]] = SINGLE + np.minimum(CLASSES - SINGLE - 1, ((np.cumsum(rest) - rest) / rest.sum() * (CLASSES - SINGLE)).astype(np.int64))
     mass = n + 0.5
+    classes = np.full(size, CLASSES - 1, np.int64)  # the last class is for ids without an embedding of their own
+    classes[order[:SINGLE]] = np.arange(SINGLE)
+    tail = order[SINGLE:INPUTS]
+    classes[tail] = SINGLE + _clusters(hot, tail, order[:SINGLE], mass[tail], CLASSES - SINGLE - 1, size)
     rows = np.empty(size, np.int64)
     rows[order[:INPUTS]] = np.arange(INPUTS)
     rows[order[INPUTS:]] = INPUTS + order[INPUTS:] % RARE
@@ -161,9 +189,9 @@ PAD = INPUTS + RARE
 
 def initial(bigrams: np.ndarray) -> Params:
     """From counts (row, class): the bias is the class's log frequency, embeddings and head the factors of the log ratios."""
-    n = bigrams + 0.05 * (bigrams.sum(axis=0, keepdims=True) + 1) / (bigrams.sum() + CLASSES)  # a little of the unigram in each row
-    p = n / n.sum(axis=1, keepdims=True)
     q = (bigrams.sum(axis=0) + 1) / (bigrams.sum() + CLASSES)
+    n = bigrams + 30 * q  # rare rows lean on the unigram
+    p = n / n.sum(axis=1, keepdims=True)
     weight = np.sqrt(bigrams.sum(axis=1) + 1)[:, None]
     back = np.sqrt(q)[None, :]
     u, s, v = np.linalg.svd(np.clip(np.log(p / q), -6, 6) * weight * back, full_matrices=False)
@@ -175,7 +203,7 @@ def initial(bigrams: np.ndarray) -> Params:
         k: x.astype(np.float32)
         for k, x in {
             "embed": u * s / scale / weight, "head": scale[:, None] * v / back, "bias": np.log(q),
-            "wq": eye + rng.normal(0, 0.02, (DIM, DIM)), "wk": eye * 0.5 + rng.normal(0, 0.02, (DIM, DIM)), "wv": eye * 0.1 + rng.normal(0, 0.01, (DIM, DIM)), "far": np.zeros(SPAN),
+            "wq": eye + rng.normal(0, 0.02, (DIM, DIM)), "wk": eye * 0.5 + rng.normal(0, 0.02, (DIM, DIM)), "wv": rng.normal(0, 0.02, (DIM, DIM)), "far": np.zeros(SPAN),
         }.items()
     }
 
@@ -278,9 +306,9 @@ class Scorer:
         starts = np.repeat(begin - (SPAN - STEP), windows) + STEP * (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))
         owner, out = np.repeat(np.arange(len(counts)), windows), np.zeros(len(counts))
         wide = np.arange(SPAN)
-        for i in range(0, len(starts), 256):
-            x = rows[starts[i : i + 256, None] + wide]
-            y = goals[starts[i : i + 256, None] + wide[SPAN - STEP :]].ravel()
+        for i in range(0, len(starts), 128):
+            x = rows[starts[i : i + 128, None] + wide]
+            y = goals[starts[i : i + 128, None] + wide[SPAN - STEP :]].ravel()
             w = np.matmul(self.q[x[:, SPAN - STEP :]], self.k[x].transpose(0, 2, 1))
             w += self.far
             w -= w.max(axis=2, keepdims=True)
@@ -294,7 +322,7 @@ class Scorer:
             np.exp(np.minimum(logits, 80, out=logits), out=logits)
             each = (got - np.log(logits.sum(axis=1))) / math.log(10) + s.share[y]
             each[y < 0] = 0
-            out += np.bincount(owner[i : i + 256], each.reshape(-1, STEP).sum(axis=1, dtype=np.float64), len(counts))
+            out += np.bincount(owner[i : i + 128], each.reshape(-1, STEP).sum(axis=1, dtype=np.float64), len(counts))
         return out
 
 
@@ -316,18 +344,17 @@ def encode_words(words: pa.Array, hot: Hot, encoder: WordEncoder) -> tuple[np.nd
     unique = coded.dictionary
     place = pc.fill_null(pc.index_in(unique, value_set=hot.words), -1).to_numpy().astype(np.int64)
     cold = np.flatnonzero(place < 0)
-    own = _ids(encoder, unique.take(pa.array(cold)).to_pylist())
+    own, counts = encoder.encode(unique.take(pa.array(cold)))
     sizes = np.zeros(len(unique), np.int64)
     sizes[place >= 0] = np.diff(hot.starts)[place[place >= 0]]
-    sizes[cold] = [len(x) for x in own]
+    sizes[cold] = counts
     starts = np.zeros(len(unique), np.int64)
     starts[place >= 0] = hot.starts[place[place >= 0]]
     starts[cold] = len(hot.flat) + np.cumsum(sizes[cold]) - sizes[cold]
-    flat = np.concatenate([hot.flat, np.array([i for x in own for i in x], np.int32)])
+    flat = np.concatenate([hot.flat, own.astype(np.int32)])
     index = coded.indices.to_numpy()
     each = sizes[index]
-    ids = flat[np.repeat(starts[index] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
-    return ids, each, place[index], coded
+    return gathered(flat, starts[index], each), each, place[index], coded
 
 
 def training_windows(docs: DataFrame, hot_name: str, tokenizer: str, shape: Shape) -> DataFrame:
@@ -415,7 +442,8 @@ def fit(windows: DataFrame) -> Params:
                 yield pa.RecordBatch.from_arrays([pa.array([pack(found)], pa.binary()), pa.array([weight], pa.int64())], ["params", "n"])
 
         total, weight = None, 0
-        for r in windows.mapInArrow(train, "params binary, n long").toLocalIterator():  # one task's parameters at a time
+        found = written(windows.mapInArrow(train, "params binary, n long"), "params")  # all tasks at once
+        for r in found.toLocalIterator():  # some tasks' parameters at a time
             part = np.frombuffer(r["params"], "<f4").astype(np.float64) * r["n"]
             total, weight = part if total is None else total + part, weight + r["n"]
         p = unpack((total / weight).astype("<f4").tobytes(), p)
@@ -449,7 +477,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, hot_words: int =
         scorer = Scorer(unpack(params, {k: np.empty(s, np.float32) for k, s in sizes.items()}), shape)
         logs = np.log10(own.counts + 1.0)
         row = TaskContext.get().partitionId() << 40
-        for b in sliced(batches, "text", 4 << 20):
+        for b in sliced(batches, "text", 8 << 20):
             words, bounds = split_words(b.column(1))
             ids, each, place, coded = encode_words(words, own, encoder)
             spots = np.concatenate([[0], np.cumsum(each)])
