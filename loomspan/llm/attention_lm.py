@@ -39,12 +39,12 @@ from .token_store import WordEncoder, default_tokenizer, gathered
 HELD_MOD, HELD_REST = 7, 2
 #: Words held by every worker, at most, and the longest of them in bytes.
 HOT_WORDS, HOT_BYTES = 1 << 18, 64
-DIM = 32
+DIM = 24
 CLASSES, SINGLE = 256, 192
 #: Ids with an embedding of their own; the others share RARE embeddings.
 INPUTS, RARE = 2048, 64
 SPAN, STEP = 32, 24
-STRIDE, RUN_WORDS = 16, 20
+STRIDE, RUN_WORDS = 20, 20
 ROUNDS, LEAST_STEPS, BATCH, RATE = 2, 250, 48, 0.01
 END = b"\n"  # not a word, as it is white space
 
@@ -284,10 +284,15 @@ class Scorer:
         one[-1] = -30000.0  # the pad's key: no query attends to it
         self.q = np.hstack([np.vstack([e @ p["wq"] / math.sqrt(DIM), zero]), np.ones_like(one)]).astype(np.float32)
         self.k = np.hstack([np.vstack([e @ p["wk"], zero]), np.where(one < 0, one, 0)]).astype(np.float32)
-        self.v = np.vstack([e @ p["wv"], zero]).astype(np.float32)
+        self.v = np.hstack([np.vstack([e @ p["wv"], zero]), np.ones_like(one)]).astype(np.float32)  # the last column sums the weights
         age = (np.arange(SPAN - STEP, SPAN)[:, None] - np.arange(SPAN)[None, :])
         self.far = np.where(age >= 0, p["far"][np.maximum(age, 0)], np.float32(-30000)).astype(np.float32)
         self.head, self.bias, self.shape = p["head"], p["bias"], shape
+        norm = lambda x, axis=1: float(np.sqrt((x * x).sum(axis=axis)).max())
+        # where no score can overflow, none needs its row's maximum taken off
+        self.small = norm(self.q[:, :-1]) * norm(self.k[:, :-1]) + float(np.abs(p["far"]).max()) < 60
+        self.plain = (norm(self.embed) + norm(self.v[:, :-1])) * norm(self.head, 0) + float(np.abs(self.bias).max()) < 80
+        self.ones = np.ones(CLASSES, np.float32)
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each document, whose ids come one document after another (the ends are added here)."""
@@ -311,16 +316,21 @@ class Scorer:
             y = goals[starts[i : i + 128, None] + wide[SPAN - STEP :]].ravel()
             w = np.matmul(self.q[x[:, SPAN - STEP :]], self.k[x].transpose(0, 2, 1))
             w += self.far
-            w -= w.max(axis=2, keepdims=True)
+            if not self.small:
+                w -= w.max(axis=2, keepdims=True)
             np.exp(w, out=w)
             h = np.matmul(w, self.v[x])
-            h /= w.sum(axis=2, keepdims=True)
+            total = h[:, :, DIM:]
+            total[total == 0] = 1  # after a document's end there is nothing to attend to
+            h = h[:, :, :DIM] / total
             h += self.embed[x[:, SPAN - STEP :]]
             logits = h.reshape(-1, DIM) @ self.head
             logits += self.bias
+            if not self.plain:
+                logits -= logits.max(axis=1, keepdims=True)
             got = logits[np.arange(len(y)), s.classes[y]]
-            np.exp(np.minimum(logits, 80, out=logits), out=logits)
-            each = (got - np.log(logits.sum(axis=1))) / math.log(10) + s.share[y]
+            np.exp(logits, out=logits)
+            each = (got - np.log(logits @ self.ones)) / math.log(10) + s.share[y]
             each[y < 0] = 0
             out += np.bincount(owner[i : i + 128], each.reshape(-1, STEP).sum(axis=1, dtype=np.float64), len(counts))
         return out
