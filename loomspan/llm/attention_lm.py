@@ -44,7 +44,7 @@ CLASSES, SINGLE = 256, 192
 #: Ids with an embedding of their own; the others share RARE embeddings.
 INPUTS, RARE = 2048, 64
 SPAN, STEP = 32, 24
-STRIDE, RUN_WORDS = 20, 20
+STRIDE, RUN_WORDS = 24, 20
 ROUNDS, LEAST_STEPS, BATCH, RATE = 2, 250, 48, 0.01
 END = b"\n"  # not a word, as it is white space
 
@@ -311,9 +311,9 @@ class Scorer:
         starts = np.repeat(begin - (SPAN - STEP), windows) + STEP * (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))
         owner, out = np.repeat(np.arange(len(counts)), windows), np.zeros(len(counts))
         wide = np.arange(SPAN)
-        for i in range(0, len(starts), 128):
-            x = rows[starts[i : i + 128, None] + wide]
-            y = goals[starts[i : i + 128, None] + wide[SPAN - STEP :]].ravel()
+        for i in range(0, len(starts), 64):
+            x = rows[starts[i : i + 64, None] + wide]
+            y = goals[starts[i : i + 64, None] + wide[SPAN - STEP :]].ravel()
             w = np.matmul(self.q[x[:, SPAN - STEP :]], self.k[x].transpose(0, 2, 1))
             w += self.far
             if not self.small:
@@ -332,7 +332,7 @@ class Scorer:
             np.exp(logits, out=logits)
             each = (got - np.log(logits @ self.ones)) / math.log(10) + s.share[y]
             each[y < 0] = 0
-            out += np.bincount(owner[i : i + 128], each.reshape(-1, STEP).sum(axis=1, dtype=np.float64), len(counts))
+            out += np.bincount(owner[i : i + 64], each.reshape(-1, STEP).sum(axis=1, dtype=np.float64), len(counts))
         return out
 
 
