@@ -46,6 +46,8 @@ INPUTS, RARE = 2048, 64
 SPAN, STEP = 32, 24
 STRIDE, RUN_WORDS = 24, 20
 ROUNDS, LEAST_STEPS, BATCH, RATE = 2, 250, 48, 0.01
+#: Ids scored together, which bounds the arrays of positions.
+PART_IDS = 300_000
 END = b"\n"  # not a word, as it is white space
 
 
@@ -202,7 +204,7 @@ def initial(bigrams: np.ndarray) -> Params:
     return {
         k: x.astype(np.float32)
         for k, x in {
-            "embed": u * s / scale / weight, "head": scale[:, None] * v / back, "bias": np.log(q),
+            "embed": u * np.sqrt(s * np.sqrt(len(bigrams))) / weight, "head": scale[:, None] * v / back, "bias": np.log(q),
             "wq": eye + rng.normal(0, 0.02, (DIM, DIM)), "wk": eye * 0.5 + rng.normal(0, 0.02, (DIM, DIM)), "wv": rng.normal(0, 0.02, (DIM, DIM)), "far": np.zeros(SPAN),
         }.items()
     }
@@ -336,6 +338,16 @@ class Scorer:
         return out
 
 
+    def score_parts(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The same for documents between bounds, about PART_IDS ids at a time."""
+        out, i = [], 0
+        while i < len(bounds) - 1:
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + PART_IDS, side="right")) - 1)
+            out.append(self.score(ids[bounds[i] : bounds[j]], np.diff(bounds[i : j + 1])))
+            i = j
+        return np.concatenate(out) if out else np.zeros(0)
+
+
 _HOT: dict[str, Hot] = {}
 
 
@@ -487,7 +499,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, hot_words: int =
         scorer = Scorer(unpack(params, {k: np.empty(s, np.float32) for k, s in sizes.items()}), shape)
         logs = np.log10(own.counts + 1.0)
         row = TaskContext.get().partitionId() << 40
-        for b in sliced(batches, "text", 8 << 20):
+        for b in sliced(batches, "text", 5 << 20):
             words, bounds = split_words(b.column(1))
             ids, each, place, coded = encode_words(words, own, encoder)
             spots = np.concatenate([[0], np.cumsum(each)])
@@ -498,7 +510,9 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, hot_words: int =
             at = row + np.arange(len(n))
             row += len(n)
             none = pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array([held_out(d) for d in keys]), pa.array(n + 1), pa.array(known[bounds[1:]] - known[bounds[:-1]]), pa.array(value[bounds[1:]] - value[bounds[:-1]]), pa.array(scorer.score(ids, np.diff(spots[bounds]))), *none], names)
+            scores = scorer.score_parts(ids, spots[bounds])
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array([held_out(d) for d in keys]), pa.array(n + 1), pa.array(known[bounds[1:]] - known[bounds[:-1]]), pa.array(value[bounds[1:]] - value[bounds[:-1]]), pa.array(scores), *none], names)
+            del ids, value, known, scores
             cold = np.flatnonzero(place < 0)
             if len(cold):
                 width_ = len(coded.dictionary)
