@@ -38,7 +38,7 @@ from .token_store import WordEncoder, default_tokenizer, gathered
 
 HELD_MOD, HELD_REST = 7, 2
 #: Words held by every worker, at most, and the longest of them in bytes.
-HOT_WORDS, HOT_BYTES = 1 << 18, 64
+HOT_WORDS, HOT_BYTES = 1 << 19, 64
 DIM = 24
 CLASSES, SINGLE = 256, 192
 #: Ids with an embedding of their own; the others share RARE embeddings.
@@ -281,7 +281,7 @@ class Scorer:
     def __init__(self, p: Params, shape: Shape) -> None:
         zero = np.zeros((1, DIM), np.float32)
         e = p["embed"]
-        self.embed = np.vstack([e, zero])
+        self.embed = np.hstack([np.vstack([e, zero]), np.zeros((len(e) + 1, 1), np.float32)])
         one = np.ones((len(e) + 1, 1), np.float32)
         one[-1] = -30000.0  # the pad's key: no query attends to it
         self.q = np.hstack([np.vstack([e @ p["wq"] / math.sqrt(DIM), zero]), np.ones_like(one)]).astype(np.float32)
@@ -289,11 +289,11 @@ class Scorer:
         self.v = np.hstack([np.vstack([e @ p["wv"], zero]), np.ones_like(one)]).astype(np.float32)  # the last column sums the weights
         age = (np.arange(SPAN - STEP, SPAN)[:, None] - np.arange(SPAN)[None, :])
         self.far = np.where(age >= 0, p["far"][np.maximum(age, 0)], np.float32(-30000)).astype(np.float32)
-        self.head, self.bias, self.shape = p["head"], p["bias"], shape
+        self.head, self.shape = np.vstack([p["head"], p["bias"][None]]).astype(np.float32), shape  # the bias goes with the column of ones
         norm = lambda x, axis=1: float(np.sqrt((x * x).sum(axis=axis)).max())
         # where no score can overflow, none needs its row's maximum taken off
         self.small = norm(self.q[:, :-1]) * norm(self.k[:, :-1]) + float(np.abs(p["far"]).max()) < 60
-        self.plain = (norm(self.embed) + norm(self.v[:, :-1])) * norm(self.head, 0) + float(np.abs(self.bias).max()) < 80
+        self.plain = (norm(self.embed) + norm(self.v[:, :-1])) * norm(p["head"], 0) + float(np.abs(p["bias"]).max()) < 80
         self.ones = np.ones(CLASSES, np.float32)
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -322,12 +322,11 @@ class Scorer:
                 w -= w.max(axis=2, keepdims=True)
             np.exp(w, out=w)
             h = np.matmul(w, self.v[x])
-            total = h[:, :, DIM:]
+            total = h[:, :, DIM:].copy()
             total[total == 0] = 1  # after a document's end there is nothing to attend to
-            h = h[:, :, :DIM] / total
+            h /= total
             h += self.embed[x[:, SPAN - STEP :]]
-            logits = h.reshape(-1, DIM) @ self.head
-            logits += self.bias
+            logits = h.reshape(-1, DIM + 1) @ self.head
             if not self.plain:
                 logits -= logits.max(axis=1, keepdims=True)
             got = logits[np.arange(len(y)), s.classes[y]]
