@@ -15,7 +15,6 @@ from . import Query, table
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-X = F.col("embedding").cast("array<double>")
 CLEAN = "case when isnan(v) then null when isinf(v) then sign(v) * 1e300 else round(v, 6) + 0.0 end"
 
 
@@ -29,7 +28,7 @@ def _packed(name: str, make: Callable[[Column, Column], Column], sql: str, cols:
     """make: from the vector x and the matrix a of a row to a tensor. sql: the list of its values by row, from x."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, "embeddings").select("vec_id", X.alias("x"))
+        df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
         out = df.select("vec_id", make(T.tensor(F.col("x")), T.tensor(F.col("x"), 8, 8)).alias("t"))
         flat = out.select("vec_id", F.col("t.cols").alias("c"), F.posexplode("t.data").alias("k", "v"))
         return flat.select("vec_id", (F.floor(F.col("k") / F.col("c")) + 1).cast("long").alias("i"), (F.col("k") % F.col("c") + 1).cast("long").alias("j"), clean(F.col("v")).alias("v"))
@@ -160,13 +159,18 @@ _long(
 
 # Q15: discount and tax as fractions, quantity as a factor
 
-_QA, _QB = q15.quantise(F.col("l_discount") * 8 - 0.4), q15.quantise(F.col("l_tax") * 9 - 0.3)
+
+
+def _fixed() -> dict[str, Column]:
+    return {"a": q15.quantise(F.col("l_discount") * 8 - 0.4), "b": q15.quantise(F.col("l_tax") * 9 - 0.3)}
+
+
 _KEYS = ("l_orderkey", "l_linenumber", "l_partkey")
 _QSQL = "q as (select l_orderkey, l_linenumber, l_partkey, l_returnflag, cast(greatest(least(sign(x) * floor(abs(x) + 0.5), 32767), -32768) as bigint) as a, cast(greatest(least(sign(y) * floor(abs(y) + 0.5), 32767), -32768) as bigint) as b from (select *, (l_discount * 8 - 0.4) * 32768 as x, (l_tax * 9 - 0.3) * 32768 as y from lineitem))"
 
 
 def _q15(name: str, f: Callable[[Column, Column], Column], sql: str) -> None:
-    _long(f"q15_{name}", lambda s, d: table(s, d, "lineitem").withColumns({"a": _QA, "b": _QB}).select(*_KEYS, f(F.col("a"), F.col("b")).alias("r")), f"with {_QSQL} select l_orderkey, l_linenumber, l_partkey, {sql} as r from q")
+    _long(f"q15_{name}", lambda s, d: table(s, d, "lineitem").withColumns(_fixed()).select(*_KEYS, f(F.col("a"), F.col("b")).alias("r")), f"with {_QSQL} select l_orderkey, l_linenumber, l_partkey, {sql} as r from q")
 
 
 _SAT = "cast(greatest(least({}, 32767), -32768) as bigint)"
@@ -182,7 +186,7 @@ for _name, _f, _sql in (
     ("max", q15.max_, "max(a)"),
     ("min", q15.min_, "min(a)"),
 ):
-    _long(f"q15_{_name}", lambda s, d, f=_f: table(s, d, "lineitem").withColumn("a", _QA).groupBy("l_returnflag").agg(f(F.col("a")).alias("r")), f"with {_QSQL} select l_returnflag, {_sql} as r from q group by l_returnflag")
+    _long(f"q15_{_name}", lambda s, d, f=_f: table(s, d, "lineitem").withColumns(_fixed()).groupBy("l_returnflag").agg(f(F.col("a")).alias("r")), f"with {_QSQL} select l_returnflag, {_sql} as r from q group by l_returnflag")
 
 # loops as folds and windows, over the orders of each customer in key order
 
@@ -191,15 +195,18 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("v"))
 
 
-_BY = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+def _by():  # noqa: ANN202
+    return Window.partitionBy("o_custkey").orderBy("o_orderkey")
+
+
 _long(
     "loop_moving_avg",
-    lambda s, d: _series(s, d).select("o_custkey", "o_orderkey", F.round(F.avg("v").over(_BY.rowsBetween(-3, 0)), 4).alias("avg_v")),
+    lambda s, d: _series(s, d).select("o_custkey", "o_orderkey", F.round(F.avg("v").over(_by().rowsBetween(-3, 0)), 4).alias("avg_v")),
     "select o_custkey, o_orderkey, round(avg(o_totalprice) over (partition by o_custkey order by o_orderkey rows between 3 preceding and current row), 4) as avg_v from orders",
 )
 _long(
     "ext_prefix_sum",
-    lambda s, d: _series(s, d).select("o_custkey", "o_orderkey", F.round(F.sum("v").over(_BY.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("run_v")),
+    lambda s, d: _series(s, d).select("o_custkey", "o_orderkey", F.round(F.sum("v").over(_by().rowsBetween(Window.unboundedPreceding, 0)), 4).alias("run_v")),
     "select o_custkey, o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderkey rows unbounded preceding), 4) as run_v from orders",
 )
 
@@ -220,7 +227,7 @@ _long("loop_pickmax", lambda s, d: _series(s, d).groupBy("o_custkey").agg(F.max_
 _TAPS = (0.25, 0.5, 0.25)
 _long(
     "loop_fir",
-    lambda s, d: _series(s, d).select("o_custkey", "o_orderkey", F.round(sum(F.lag("v", k).over(_BY) * t for k, t in enumerate(_TAPS)) / (1 + abs(0.5)), 4).alias("y")).where("y is not null"),
+    lambda s, d: _series(s, d).select("o_custkey", "o_orderkey", F.round(sum(F.lag("v", k).over(_by()) * t for k, t in enumerate(_TAPS)) / (1 + abs(0.5)), 4).alias("y")).where("y is not null"),
     "select o_custkey, o_orderkey, round((0.25 * o_totalprice + 0.5 * lag(o_totalprice, 1) over w + 0.25 * lag(o_totalprice, 2) over w) / 1.5, 4) as y from orders window w as (partition by o_custkey order by o_orderkey) qualify lag(o_totalprice, 2) over w is not null",
 )
 _packed("kern_dot", lambda x, a: T.matmul(x, T.transpose(x)), _one("list_sum(list_transform(x, lambda q: q * q))"), "1")
