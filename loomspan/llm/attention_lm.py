@@ -38,9 +38,9 @@ from .token_store import WordEncoder, default_tokenizer, gathered
 
 HELD_MOD, HELD_REST = 7, 2
 #: Words held by every worker, at most, and the longest of them in bytes.
-HOT_WORDS, HOT_BYTES = 1 << 19, 64
+HOT_WORDS, HOT_BYTES = 1 << 18, 64
 DIM = 24
-CLASSES, SINGLE = 256, 192
+CLASSES, SINGLE = 224, 160
 #: Ids with an embedding of their own; the others share RARE embeddings.
 INPUTS, RARE = 2048, 64
 SPAN, STEP = 32, 24
