@@ -58,7 +58,7 @@ def top(df: DataFrame, value: str, n: int = TOP_N, *ties: str) -> DataFrame:
 
 def with_total(df: DataFrame, shown: DataFrame) -> DataFrame:
     """shown with the number of rows that it was cut from."""
-    return shown.crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))  # one row
+    return shown.withColumn("total", F.lit(df.count()))
 
 
 def distances(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False, cap: int | None = None) -> tuple[DataFrame, bool]:
@@ -220,3 +220,78 @@ def rolled_up(df: DataFrame, path: str, *values: str) -> DataFrame:
 def chunked(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
     """Rows of a group in pieces of at most `most`."""
     return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / most))
+
+
+def focus(edges: DataFrame, nodes: DataFrame, name: str, depth: int = FOCUS_DEPTH, max_nodes: int = MAX_NODES, max_edges: int | None = None, direction: str = "both") -> tuple[DataFrame, DataFrame, dict]:
+    """The neighbourhood of the node (node, name) that a name means: nodes (node, level), edges (src, dst), and totals.
+
+    Of several nodes of that name (case aside) or key, that of the greatest degree is taken and the number of candidates is
+    reported. Nodes are kept by level and then key, edges by key; totals say what was there before the caps.
+    """
+    q = name.lower()
+    cand = nodes.where((F.lower("name") == q) | (F.lower(F.col("node").cast("string")) == q)).select("node").distinct()
+    d = degrees(edges).select("node", (F.col("fan_in") + F.col("fan_out")).alias("degree"))
+    info: dict = {"candidates": cand.count()}
+    start = cand.join(d, "node", "left").orderBy(F.desc(F.coalesce("degree", F.lit(0))), "node").limit(1).select("node")
+    plain = edges.select("src", "dst")
+    flow = {"callee": plain, "caller": plain.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "both": plain.unionByName(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst")))}[direction]
+    found, _ = distances(flow, start, depth)
+    found = cut(found)
+    kept = cut(found.orderBy("level", "node").limit(max_nodes))
+    inner = plain.distinct().join(kept.select(F.col("node").alias("src")), "src").join(kept.select(F.col("node").alias("dst")), "dst").select("src", "dst")
+    info |= {"nodes_total": found.count(), "edges_total": inner.count()}
+    shown = inner.orderBy("src", "dst").limit(max_edges) if max_edges is not None else inner
+    info |= {"nodes_shown": min(max_nodes, info["nodes_total"]), "edges_shown": min(max_edges or info["edges_total"], info["edges_total"])}
+    return kept, shown, info | {"truncated": info["nodes_shown"] < info["nodes_total"] or info["edges_shown"] < info["edges_total"]}
+
+
+def call_relations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """section, key, n: totals, edges by class, and the top callees and callers, in one table."""
+    d = degrees(edges)
+    row = lambda df, section, key, n: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.col(n).cast("long").alias("n"))
+    totals = d.agg(F.count("*").alias("nodes"), F.sum("fan_out").alias("edges")).select(F.expr("stack(2, 'nodes', nodes, 'edges', edges) as (key, n)"))
+    return (
+        row(totals, "total", "key", "n")
+        .unionByName(row(classify(edges, nodes), "class", "kind", "n"))
+        .unionByName(row(top(d.where("fan_in > 0"), "fan_in", TOP_N, "node"), "fan_in", "node", "fan_in"))
+        .unionByName(row(top(d.where("fan_out > 0"), "fan_out", TOP_N, "node"), "fan_out", "node", "fan_out"))
+    )
+
+
+def reachable_pairs(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+    """root and node for all that each root (node) reaches within depth, itself included."""
+    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    seen = cut(roots.select(F.col("node").alias("root"), "node").distinct())
+    frontier = seen
+    for _ in range(depth):
+        found = frontier.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
+        frontier = cut(found.join(seen, ["root", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def sandwich(refs: DataFrame, defs: DataFrame, sure: DataFrame, possible: DataFrame) -> DataFrame:
+    """refs (name, root) with the definition (name, node) that is the only one reachable from root both over sure edges and over
+    all possible edges; where the two don't agree on one, the target is null and status says why."""
+    roots = refs.select(F.col("root").alias("node")).distinct()
+
+    def hits(edges: DataFrame, tag: str) -> DataFrame:
+        within = reachable_pairs(edges, roots).join(defs, "node").select("root", "name", "node")
+        return within.groupBy("root", "name").agg(F.count("*").alias(f"n_{tag}"), F.min("node").alias(f"one_{tag}"))
+
+    out = refs.join(hits(sure, "sure"), ["root", "name"], "left").join(hits(possible, "possible"), ["root", "name"], "left")
+    agreed = (F.col("n_sure") == 1) & (F.col("n_possible") == 1) & (F.col("one_sure") == F.col("one_possible"))
+    status = F.when(agreed, "resolved").when(F.col("n_possible").isNull(), "unreachable").otherwise("undecided")
+    return out.select("name", "root", F.when(agreed, F.col("one_sure")).alias("target"), F.coalesce(status, F.lit("undecided")).alias("status"))
+
+
+def changed_impact(edges: DataFrame, functions: DataFrame, changed: DataFrame, depth: int = IMPACT_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """What a set of changed files (rel) reaches backwards: entries (node, affected) by how many changed functions lead to
+    them, and files (rel, affected). functions: node, rel."""
+    starts = functions.join(changed.select("rel").distinct(), "rel").select("node")
+    pairs = reachable_pairs(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, depth)
+    by_node = pairs.groupBy("node").agg(F.countDistinct("root").alias("affected"))
+    tops = entries(edges, by_node).join(by_node, "node").orderBy(F.desc("affected"), "node")
+    return tops, by_node.join(functions, "node").groupBy("rel").agg(F.countDistinct("node").alias("affected")).orderBy(F.desc("affected"), "rel")

@@ -22,13 +22,13 @@ def bm25(docs: DataFrame, query: str, k: int, log_idf: bool = False) -> DataFram
     spark = docs.sparkSession
     terms = spark.range(1).select(F.explode(X.words(F.lit(query))).alias("token")).groupBy("token").agg((F.count("*") * F.count("*")).alias("qf"))
     tokens = token_counts(docs)
-    lengths = docs.select("doc_id", F.size(X.words(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    lengths = docs.select(F.size(X.words(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     hits = tokens.join(F.broadcast(terms), "token")  # the terms of one question
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(lengths))  # a row a term; one row
-    ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    scored = hits.join(F.broadcast(df), "token")  # a row a term
+    ratio = (F.lit(lengths["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.ln(1 + ratio) if log_idf else F.greatest(F.lit(0.0), ratio)
-    part = F.col("qf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = F.col("qf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(lengths["avgdl"] or 1.0)))
     return scored.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
 
 
@@ -119,3 +119,18 @@ def search_lines(docs: DataFrame, pattern: str, regex: bool = False, ignore_case
     rx = ("(?i)" if ignore_case else "") + body
     hit = lines.where(F.col("content").rlike(rx))
     return hit.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), F.regexp_instr("content", F.lit(rx)).cast("long").alias("col"), F.regexp_extract("content", f"({rx})", 1).alias("match"))
+
+
+def normalised_code(line: Column) -> Column:
+    """A source line with strings, numbers and spacing made alike, and the two operands of a sum or product in order."""
+    x = F.regexp_replace(line, r"\"[^\"]*\"|'[^']*'", "S")
+    x = F.regexp_replace(F.regexp_replace(x, r"\b[0-9]+(\.[0-9]+)?\b", "N"), r"\s+", "")
+    form = r"^(.*=)?([A-Za-z_][A-Za-z0-9_]*|N|S)([+*])([A-Za-z_][A-Za-z0-9_]*|N|S)(;?)$"
+    a, b = F.regexp_extract(x, form, 2), F.regexp_extract(x, form, 4)
+    ordered = F.concat(F.regexp_extract(x, form, 1), F.least(a, b), F.regexp_extract(x, form, 3), F.greatest(a, b), F.regexp_extract(x, form, 5))
+    return F.when(x.rlike(form), ordered).otherwise(x)
+
+
+def cross_language_score(skeleton: Column, tokens: Column, run: Column) -> Column:
+    """Weighted similarity of two functions in different languages; 0.3 or more counts as a clone."""
+    return F.round(0.6 * skeleton + 0.25 * tokens + 0.15 * run, 6)

@@ -197,3 +197,46 @@ _add(
     r(a, b) as (select src, src from t union select r.a, t.dst from r join t on t.src = r.b), c as (select a as node, min(b) as component from r group by a),
     k as (select component, cast((row_number() over (partition by component order by node) - 1) // 5 as bigint) as chunk from c) select component, chunk, count(*) as n from k group by 1, 2""",
 )
+
+
+def _focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, _, info = G.focus(edges(spark, sf_dir, 48), nodes(spark, sf_dir).select("node", "name"), "17", 2, 40)
+    return kept.select("node", F.col("level").cast("long").alias("level"), F.lit(info["nodes_total"]).alias("total"))
+
+
+_add(
+    "graph_focus",
+    _focus,
+    f"with recursive {_e(48)}, t as (select src, dst from e union select dst, src from e), r(node, level) as (select cast(17 as bigint), 0 union select t.dst, level + 1 from r join t on t.src = r.node where level < 2), m as (select node, min(level) as level from r group by node) select node, cast(level as bigint) as level, (select count(*) from m) as total from m order by level, node limit 40",
+)
+_add(
+    "call_relations",
+    lambda s, d: G.call_relations(edges(s, d, 20), nodes(s, d).select("node", "rel")),
+    f"""with {_e(20)}, {_D}, {_N}, k as (select case when a.rel = b.rel then 'internal' else 'cross' end as kind, count(*) as n from e join n a on a.node = e.src join n b on b.node = e.dst group by 1)
+    select 'total' as section, 'nodes' as key, count(*) as n from d union all select 'total', 'edges', cast(sum(fan_out) as bigint) from d
+    union all select 'class', v.kind, coalesce(k.n, 0) from (values ('internal'), ('cross'), ('ambiguous'), ('unknown')) v(kind) left join k on k.kind = v.kind
+    union all (select 'fan_in', cast(node as varchar), fan_in from d where fan_in > 0 order by fan_in desc, node limit 30) union all (select 'fan_out', cast(node as varchar), fan_out from d where fan_out > 0 order by fan_out desc, node limit 30)""",
+)
+
+
+def _sandwich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = nodes(spark, sf_dir).where("node % 29 = 5").select("name").distinct().withColumn("root", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(40).cast("long"))))
+    return G.sandwich(refs, nodes(spark, sf_dir).select("name", "node"), edges(spark, sf_dir, 50), edges(spark, sf_dir, 49).where("line <= 4").unionByName(edges(spark, sf_dir, 50))).groupBy("status").agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
+
+
+_add(
+    "graph_sandwich",
+    _sandwich,
+    """with recursive e as (select src, dst, line, q from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as dst, cast(l_linenumber as bigint) as line, l_quantity as q from lineitem) where dst is not null and q >= 49),
+    a(root, node) as (select p_partkey, p_partkey from part where p_partkey <= 40 union select a.root, e.dst from a join e on e.src = a.node where e.q >= 50),
+    b(root, node) as (select p_partkey, p_partkey from part where p_partkey <= 40 union select b.root, e.dst from b join e on e.src = b.node where e.line <= 4 or e.q >= 50),
+    refs as (select x.name, y.root from (select distinct p_name as name from part where p_partkey % 29 = 5) x, (select p_partkey as root from part where p_partkey <= 40) y),
+    ha as (select root, p_name as name, count(*) as n, min(node) as one from a join part on p_partkey = node group by 1, 2), hb as (select root, p_name as name, count(*) as n, min(node) as one from b join part on p_partkey = node group by 1, 2),
+    s as (select case when ha.n = 1 and hb.n = 1 and ha.one = hb.one then 'resolved' when hb.n is null then 'unreachable' else 'undecided' end as status, case when ha.n = 1 and hb.n = 1 and ha.one = hb.one then ha.one end as target from refs r left join ha on ha.root = r.root and ha.name = r.name left join hb on hb.root = r.root and hb.name = r.name)
+    select status, count(*) as n, cast(sum(target) as bigint) as targets from s group by status""",
+)
+_add(
+    "graph_changed_impact",
+    lambda s, d: G.changed_impact(edges(s, d, 50), nodes(s, d).select("node", "rel"), nodes(s, d).where("rel in ('Brand#11', 'Brand#23')").select("rel"))[0],
+    f"with recursive {_e(50)}, r(root, node) as (select p_partkey, p_partkey from part where p_brand in ('Brand#11', 'Brand#23') union select r.root, e.src from r join e on e.dst = r.node), m as (select node, count(distinct root) as affected from r group by node) select node, affected from m where node not in (select dst from e)",
+)

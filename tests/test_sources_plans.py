@@ -217,3 +217,26 @@ def test_event_windows(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() == n
+
+
+def test_python_sources_to_a_call_graph(spark):
+    from loomspan.operators import graph
+    from loomspan.sources import python_ast
+
+    src = [("a.py", "def f(x):\n    if x and x > 1:\n        g(x)\n    return h()\n\nclass C:\n    def g(self):\n        return [f(i) for i in self.k()]\n"), ("b.py", "def g(): pass\n"), ("c.py", "def broken(:")]
+    p = python_ast.parse(spark.createDataFrame(src, "path string, text string")).cache()
+    assert {r["path"]: r["status"] for r in p.collect()} == {"a.py": "ok", "b.py": "ok", "c.py": "damaged: SyntaxError"}
+    f = python_ast.functions(p)
+    assert {(r["fkey"], r["complexity"]) for r in f.collect()} == {("a.py:f", 3), ("a.py:C.g", 2), ("b.py:g", 1)}
+    edges, missing = graph.resolve(python_ast.call_sites(p), f)
+    assert {(r["caller"], r["callee"]) for r in edges.collect()} == {("a.py:f", "a.py:C.g"), ("a.py:f", "b.py:g"), ("a.py:C.g", "a.py:f")}
+    assert {r["callee"] for r in missing.collect()} == {"h", "k"}
+
+
+def test_code_lines_made_alike(spark):
+    from loomspan.operators.retrieval import cross_language_score, normalised_code
+
+    df = spark.createDataFrame([("y = b + 1;",), ("y =  22 + b;",), ('puts("a")',), ("x = a - b",)], "v string")
+    got = [r[0] for r in df.select(normalised_code(F.col("v"))).collect()]
+    assert got[0] == got[1] and got[2] == "puts(S)" and got[3] == "x=a-b"
+    assert df.select(cross_language_score(F.lit(1.0), F.lit(0.4), F.lit(0.0))).first()[0] == pytest.approx(0.7)
