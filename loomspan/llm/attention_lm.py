@@ -45,7 +45,8 @@ CLASSES, SINGLE = 224, 160
 INPUTS, RARE = 2048, 64
 SPAN, STEP = 32, 24
 STRIDE, RUN_WORDS = 24, 20
-ROUNDS, LEAST_STEPS, BATCH, RATE = 2, 250, 48, 0.01
+#: A round's steps of a task: once over its windows, or up to EPOCHS times while that is fewer than LEAST_STEPS.
+ROUNDS, LEAST_STEPS, EPOCHS, BATCH, RATE = 2, 500, 6, 48, 0.01
 #: Ids scored together, which bounds the arrays of positions.
 PART_IDS = 300_000
 END = b"\n"  # not a word, as it is white space
@@ -66,11 +67,24 @@ def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[bounds]
 
 
+def merged(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have about so many bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.get_total_buffer_size()
+        if size >= least_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and n over all training documents; the end is the word "\\n"."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 16 << 20, 40_000):
+        for b in merged(sliced(batches, "text", 16 << 20, 40_000), 16 << 20):  # fewer partial counts
             words, bounds = split_words(b.column(1))
             training = np.array([not held_out(d) for d in b.column(0).to_pylist()])
             used = np.repeat(training, np.diff(bounds))
@@ -459,7 +473,7 @@ def fit(windows: DataFrame) -> Params:
             if left is not None and (len(left[0]) or not own) and len(left[0]):
                 own.append(left)
             if own:
-                found = adam(start, own, max(LEAST_STEPS, len(own)), rate)  # noqa: B023
+                found = adam(start, own, max(len(own), min(LEAST_STEPS, EPOCHS * len(own))), rate)  # noqa: B023
                 yield pa.RecordBatch.from_arrays([pa.array([pack(found)], pa.binary()), pa.array([weight], pa.int64())], ["params", "n"])
 
         total, weight = None, 0

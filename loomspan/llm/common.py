@@ -23,8 +23,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows in a batch that goes to Python, at most: rows are whole texts here, and both sides hold a batch.
+BATCH_ROWS = 2_500
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers can import it anywhere."""
+    """Send this package to the executors once per application, so that workers can import it anywhere; and keep the session's
+    Arrow batches to BATCH_ROWS rows."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -121,7 +129,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, most
         n, i = b.num_rows, 0
         if not n:
             continue
-        _, offsets = texts_of(b.column(b.schema.get_field_index(column)))
+        offsets = texts_of(b.column(b.schema.get_field_index(column)))[1].copy()  # not a view, which would hold the texts
         while i < n:
             j = int(np.searchsorted(offsets, offsets[i] + most_bytes, side="right")) - 1
             j = max(i + 1, min(j, n, i + most_rows))
