@@ -44,19 +44,27 @@ for _side in ("fan_in", "fan_out"):
 _add("graph_distinct_nodes", lambda s, d: G.degrees(edges(s, d)).agg(F.count("*").alias("nodes"), F.sum("fan_out").alias("edges")), f"with {_e()}, {_D} select count(*) as nodes, cast(sum(fan_out) as bigint) as edges from d")
 _add(
     "graph_classify",
-    lambda s, d: G.classify(edges(s, d, 25), nodes(s, d).where("node % 10 <> 0").select("node", "rel").unionByName(nodes(s, d).where("node % 7 = 0 and node % 10 <> 0").select("node", "rel"))),
-    f"""with {_e(25)}, {_N}, m as (select node, rel from n where node % 10 <> 0 union all select node, rel from n where node % 7 = 0 and node % 10 <> 0),
+    lambda s, d: G.classify(edges(s, d), nodes(s, d).where("node % 10 <> 0").select("node", "rel").unionByName(nodes(s, d).where("node % 7 = 0 and node % 10 <> 0").select("node", "rel"))),
+    f"""with {_e()}, {_N}, m as (select node, rel from n where node % 10 <> 0 union all select node, rel from n where node % 7 = 0 and node % 10 <> 0),
     g as (select node, count(*) as k, min(rel) as rel from m group by node),
     c as (select case when b.k is null then 'unknown' when b.k > 1 then 'ambiguous' when a.rel = b.rel then 'internal' else 'cross' end as kind from e left join g a on e.src = a.node left join g b on e.dst = b.node)
     select k.kind, count(c.kind) as n from (values ('internal'), ('cross'), ('ambiguous'), ('unknown')) k(kind) left join c on c.kind = k.kind group by k.kind""",
 )
 
 
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, name, rel: a part's name and size make the function's name, so that some names are defined more than once."""
+    return nodes(spark, sf_dir).select("node", F.concat_ws("_", "name", "cx").alias("name"), "rel")
+
+
+_NAMED = f"{_N}, m as (select node, name || '_' || cx as name, rel from n)"
+
+
 def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = edges(spark, sf_dir, 40).join(nodes(spark, sf_dir).select(F.col("node").alias("src"), "rel"), "src").join(nodes(spark, sf_dir).select(F.col("node").alias("dst"), "name"), "dst")
+    m = named(spark, sf_dir)
+    calls = edges(spark, sf_dir).join(m.select(F.col("node").alias("src"), "rel"), "src").join(m.select(F.col("node").alias("dst"), "name"), "dst")
     refs = calls.select(F.when(F.col("dst") % 5 == 0, F.concat("name", F.lit("_x"))).otherwise(F.col("name")).alias("name"), "rel")
-    defs = nodes(spark, sf_dir).where("node % 40 = 3").select("name", "rel")
-    rungs = G.resolution_ladder(refs, defs).groupBy("rung").agg(F.count("*").alias("n"))
+    rungs = G.resolution_ladder(refs, m.select("name", "rel")).groupBy("rung").agg(F.count("*").alias("n"))
     every = spark.range(1).select(F.explode(F.array(*map(F.lit, ("unique", "same_file", "ambiguous", "external")))).alias("rung"))
     return every.join(rungs, "rung", "left").select("rung", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -64,20 +72,21 @@ def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(
     "graph_resolve_ladder",
     _ladder,
-    f"""with {_e(40)}, {_N}, refs as (select case when e.dst % 5 = 0 then b.name || '_x' else b.name end as name, a.rel from e join n a on a.node = e.src join n b on b.node = e.dst),
-    defs as (select name, rel from n where node % 40 = 3), bn as (select name, count(*) as k from defs group by name), bf as (select name, rel, count(*) as k from defs group by name, rel),
+    f"""with {_e()}, {_NAMED}, refs as (select case when e.dst % 5 = 0 then b.name || '_x' else b.name end as name, a.rel from e join m a on a.node = e.src join m b on b.node = e.dst),
+    bn as (select name, count(*) as k from m group by name), bf as (select name, rel, count(*) as k from m group by name, rel),
     r as (select case when bn.k is null then 'external' when bn.k = 1 then 'unique' when bf.k = 1 then 'same_file' else 'ambiguous' end as rung from refs left join bn on bn.name = refs.name left join bf on bf.name = refs.name and bf.rel = refs.rel)
     select v.rung, count(r.rung) as n from (values ('unique'), ('same_file'), ('ambiguous'), ('external')) v(rung) left join r on r.rung = v.rung group by v.rung""",
 )
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    calls = edges(spark, sf_dir, 45).join(nodes(spark, sf_dir).select(F.col("node").alias("dst"), "name"), "dst")
+    m = named(spark, sf_dir)
+    calls = edges(spark, sf_dir).join(m.select(F.col("node").alias("dst"), "name"), "dst")
     sites = calls.select(F.col("src").alias("caller"), F.when(F.col("dst") % 3 == 0, F.lower("name")).when(F.col("dst") % 11 == 0, F.lit("nowhere")).otherwise(F.upper("name")).alias("callee"), "line")
-    return sites, nodes(spark, sf_dir).where("node % 50 = 1").select("name", F.col("node").alias("fkey"))
+    return sites, m.select("name", F.col("node").alias("fkey"))
 
 
-_SITES = f"{_e(45)}, {_N}, s as (select e.src as caller, case when e.dst % 3 = 0 then lower(n.name) when e.dst % 11 = 0 then 'nowhere' else upper(n.name) end as callee, e.line from e join n on n.node = e.dst), f as (select name, node as fkey from n where node % 50 = 1)"
+_SITES = f"{_e()}, {_NAMED}, s as (select e.src as caller, case when e.dst % 3 = 0 then lower(m.name) when e.dst % 11 = 0 then 'nowhere' else upper(m.name) end as callee, e.line from e join m on m.node = e.dst), f as (select name, node as fkey from m)"
 _add("graph_call_fanout_join", lambda s, d: G.resolve(*_sites(s, d))[0], f"with {_SITES} select s.caller, f.fkey as callee, s.line from s join f on lower(s.callee) = lower(f.name)")
 _add("graph_unresolved_anti", lambda s, d: G.resolve(*_sites(s, d))[1], f"with {_SITES} select callee, line from s where not exists (select 1 from f where lower(f.name) = lower(s.callee))")
 
@@ -220,18 +229,19 @@ _add(
 
 
 def _sandwich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = nodes(spark, sf_dir).where("node % 29 = 5").select("name").distinct().withColumn("root", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(40).cast("long"))))
-    return G.sandwich(refs, nodes(spark, sf_dir).select("name", "node"), edges(spark, sf_dir, 50), edges(spark, sf_dir, 49).where("line <= 4").unionByName(edges(spark, sf_dir, 50))).groupBy("status").agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
+    calls = edges(spark, sf_dir, 49).join(named(spark, sf_dir).select(F.col("node").alias("dst"), "name"), "dst")
+    refs = calls.select("name", F.col("src").alias("root")).distinct()
+    return G.sandwich(refs, named(spark, sf_dir).select("name", "node"), edges(spark, sf_dir, 50), edges(spark, sf_dir, 49).where("line <= 4").unionByName(edges(spark, sf_dir, 50))).groupBy("status").agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
 
 
 _add(
     "graph_sandwich",
     _sandwich,
-    """with recursive e as (select src, dst, line, q from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as dst, cast(l_linenumber as bigint) as line, l_quantity as q from lineitem) where dst is not null and q >= 49),
-    a(root, node) as (select p_partkey, p_partkey from part where p_partkey <= 40 union select a.root, e.dst from a join e on e.src = a.node where e.q >= 50),
-    b(root, node) as (select p_partkey, p_partkey from part where p_partkey <= 40 union select b.root, e.dst from b join e on e.src = b.node where e.line <= 4 or e.q >= 50),
-    refs as (select x.name, y.root from (select distinct p_name as name from part where p_partkey % 29 = 5) x, (select p_partkey as root from part where p_partkey <= 40) y),
-    ha as (select root, p_name as name, count(*) as n, min(node) as one from a join part on p_partkey = node group by 1, 2), hb as (select root, p_name as name, count(*) as n, min(node) as one from b join part on p_partkey = node group by 1, 2),
+    f"""with recursive {_NAMED}, e as (select src, dst, line, q from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as dst, cast(l_linenumber as bigint) as line, l_quantity as q from lineitem) where dst is not null and q >= 49),
+    refs as (select distinct m.name, e.src as root from e join m on m.node = e.dst),
+    a(root, node) as (select root, root from refs union select a.root, e.dst from a join e on e.src = a.node where e.q >= 50),
+    b(root, node) as (select root, root from refs union select b.root, e.dst from b join e on e.src = b.node where e.line <= 4 or e.q >= 50),
+    ha as (select root, name, count(*) as n, min(a.node) as one from a join m on m.node = a.node group by 1, 2), hb as (select root, name, count(*) as n, min(b.node) as one from b join m on m.node = b.node group by 1, 2),
     s as (select case when ha.n = 1 and hb.n = 1 and ha.one = hb.one then 'resolved' when hb.n is null then 'unreachable' else 'undecided' end as status, case when ha.n = 1 and hb.n = 1 and ha.one = hb.one then ha.one end as target from refs r left join ha on ha.root = r.root and ha.name = r.name left join hb on hb.root = r.root and hb.name = r.name)
     select status, count(*) as n, cast(sum(target) as bigint) as targets from s group by status""",
 )

@@ -34,8 +34,7 @@ _B = "f as (select distinct cast(string_split(p_brand, '#')[-1] as bigint) as fi
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
-    named = line.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    named = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("_", "p_name", "p_size").alias("p_name")), "l_partkey")
     return named.select((F.col("l_suppkey") % 25 + 11).alias("file_id"), F.when(F.col("l_orderkey") % 9 == 0, "none").otherwise(F.col("p_name")).alias("name"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").cast("long").alias("col"))
 
 
@@ -50,8 +49,8 @@ _add("sym_query", lambda s, d: S.query_symbols(symbols(s, d), files(s, d), "RE",
 _add("sym_row", lambda s, d: S.symbol_row(symbols(s, d), files(s, d), "a"), f"with {_B} select symbol_id, name, path, line from s join f on f.file_id = s.file_id where contains(lower(name), 'a') order by case when name = 'a' then 0 else 1 end, path, line, symbol_id limit 1")
 _add(
     "sym_refs",
-    lambda s, d: S.query_refs(refs(s, d), symbols(s, d).where("symbol_id % 16 = 1"), files(s, d)),
-    f"""with {_B}, u as (select * from s where symbol_id % 16 = 1), r as (select l_suppkey % 25 + 11 as file_id, case when l_orderkey % 9 = 0 then 'none' else p_name end as name, l_orderkey as line, cast(l_linenumber as bigint) as col from lineitem join part on p_partkey = l_partkey where l_quantity >= 45),
+    lambda s, d: S.query_refs(refs(s, d), symbols(s, d).withColumn("name", F.concat_ws("_", "name", "line")), files(s, d)),
+    f"""with {_B}, u as (select symbol_id, file_id, name || '_' || line as name from s), r as (select l_suppkey % 25 + 11 as file_id, case when l_orderkey % 9 = 0 then 'none' else p_name || '_' || p_size end as name, l_orderkey as line, cast(l_linenumber as bigint) as col from lineitem join part on p_partkey = l_partkey),
     l as (select file_id, name, min(symbol_id) as l, count(*) as ln from u group by 1, 2), g as (select name, min(symbol_id) as g, count(*) as gn from u group by 1)
     select path, r.line, col, r.name, coalesce(l, g) as symbol_id, case when coalesce(ln, gn) is null then null when coalesce(ln, gn) > 1 then 0.8::double else 1.0::double end as confidence from r left join l on l.file_id = r.file_id and l.name = r.name left join g on g.name = r.name join f on f.file_id = r.file_id""",
 )
