@@ -45,7 +45,7 @@ CLASSES, SINGLE = 224, 160
 INPUTS, RARE = 2048, 64
 SPAN, STEP = 32, 24
 STRIDE, RUN_WORDS = 24, 20
-#: A round's steps of a task: once over its windows, or up to EPOCHS times while that is fewer than LEAST_STEPS.
+#: The rounds share a task's windows, each used once; with fewer than LEAST_STEPS batches each round uses all, up to EPOCHS times.
 ROUNDS, LEAST_STEPS, EPOCHS, BATCH, RATE = 2, 500, 6, 48, 0.01
 #: Ids scored together, which bounds the arrays of positions.
 PART_IDS = 300_000
@@ -472,6 +472,7 @@ def fit(windows: DataFrame) -> Params:
                     weight += n
             if left is not None and (len(left[0]) or not own) and len(left[0]):
                 own.append(left)
+            own = own[k::ROUNDS] if len(own) >= LEAST_STEPS else own  # noqa: B023
             if own:
                 found = adam(start, own, max(len(own), min(LEAST_STEPS, EPOCHS * len(own))), rate)  # noqa: B023
                 yield pa.RecordBatch.from_arrays([pa.array([pack(found)], pa.binary()), pa.array([weight], pa.int64())], ["params", "n"])
