@@ -107,3 +107,36 @@ def entity_violations(entities: DataFrame, kinds: tuple[str, ...], required: tup
 
 def top_of_each(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+
+
+def enclosing(positions: DataFrame, symbols: DataFrame) -> DataFrame:
+    """positions (file_id, line) with the last symbol that begins at or before each: symbol_id, or null before the first.
+
+    Both go through one sort per file; no range join. Of symbols on one line the largest id counts.
+    """
+    a = symbols.select("file_id", "line", F.lit(0).alias("side"), "symbol_id")
+    b = positions.select("file_id", "line", F.lit(1).alias("side"), F.lit(None).cast("long").alias("symbol_id"))
+    w = Window.partitionBy("file_id").orderBy("line", "side", "symbol_id").rowsBetween(Window.unboundedPreceding, 0)
+    return a.unionByName(b).withColumn("symbol_id", F.last("symbol_id", ignorenulls=True).over(w)).where("side = 1").drop("side")
+
+
+def field_access(accesses: DataFrame) -> DataFrame:
+    """base with its read and written fields (each sorted, once) from accesses (base, field, mode: r or w)."""
+    of = lambda m: F.sort_array(F.collect_set(F.when(F.col("mode") == m, F.col("field"))))
+    return accesses.groupBy("base").agg(of("r").alias("reads"), of("w").alias("writes"))
+
+
+def bridge(calls: DataFrame, c_index: DataFrame | None, binary_index: DataFrame | None) -> DataFrame:
+    """External names called (name) with the C file (name, file) and the binary (name, path) that define them, and status.
+
+    An index that isn't there is "disabled", one without rows "no_sources"; only then "found" and "unknown" mean something.
+    """
+    names = calls.groupBy("name").agg(F.count("*").alias("n"))
+    for index, column, out in ((c_index, "file", "c"), (binary_index, "path", "binary")):
+        if index is None or index.isEmpty():
+            status = "disabled" if index is None else "no_sources"
+            names = names.withColumns({out: F.lit(None).cast("string"), f"{out}_status": F.lit(status)})
+        else:
+            first = index.groupBy("name").agg(F.min(column).alias(out))
+            names = names.join(first, "name", "left").withColumn(f"{out}_status", F.when(F.col(out).isNull(), "unknown").otherwise("found"))
+    return names

@@ -98,3 +98,18 @@ _add(
     lambda s, d: S.entity_violations(table(s, d, "part").select(F.when(F.col("p_size") % 10 != 0, F.when(F.col("p_size") % 7 == 0, "blob").otherwise("class")).alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").alias("line"), F.array(F.struct(F.when(F.col("p_partkey") % 13 != 0, "m").alias("name"))).alias("members")), ("class", "enum")).groupBy("violation").agg(F.count("*").alias("n")),
     "select 'missing kind' as violation, count(*) as n from part where p_size % 10 = 0 union all select 'unknown kind', count(*) from part where p_size % 10 <> 0 and p_size % 7 = 0 union all select 'member without a name', count(*) from part where p_partkey % 13 = 0",
 )
+_add(
+    "sym_enclosing",
+    lambda s, d: S.enclosing(table(s, d, "lineitem").select((F.col("l_suppkey") % 25 + 11).alias("file_id"), F.col("l_quantity").cast("long").alias("line")), symbols(s, d)),
+    f"with {_B}, p as (select l_suppkey % 25 + 11 as file_id, cast(l_quantity as bigint) as line from lineitem), t as (select file_id, line, max(symbol_id) as symbol_id from s group by 1, 2) select p.file_id, p.line, t.symbol_id from p asof left join t on p.file_id = t.file_id and p.line >= t.line",
+)
+_add(
+    "sym_field_access",
+    lambda s, d: S.field_access(table(s, d, "lineitem").select(F.col("l_suppkey").alias("base"), F.col("l_linenumber").cast("string").alias("field"), F.when(F.col("l_returnflag") == "R", "w").otherwise("r").alias("mode"))).select("base", F.array_join("reads", ",").alias("reads"), F.array_join("writes", ",").alias("writes")),
+    "with a as (select distinct l_suppkey as base, cast(l_linenumber as varchar) as field, case when l_returnflag = 'R' then 'w' else 'r' end as mode from lineitem) select base, coalesce(string_agg(field, ',' order by field) filter (mode = 'r'), '') as reads, coalesce(string_agg(field, ',' order by field) filter (mode = 'w'), '') as writes from a group by base",
+)
+_add(
+    "sym_bridge",
+    lambda s, d: S.bridge(table(s, d, "orders").select(F.concat(F.lit("f"), F.col("o_custkey")).alias("name")), table(s, d, "customer").where("c_acctbal > 5000").select(F.concat(F.lit("f"), F.col("c_custkey")).alias("name"), F.col("c_mktsegment").alias("file")), table(s, d, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey")).alias("name"), F.col("s_name").alias("path"))),
+    "with n as (select 'f' || o_custkey as name, count(*) as n from orders group by 1), c as (select 'f' || c_custkey as name, min(c_mktsegment) as c from customer where c_acctbal > 5000 group by 1), b as (select 'f' || s_suppkey as name, min(s_name) as \"binary\" from supplier group by 1) select n.name, n, c, case when c is null then 'unknown' else 'found' end as c_status, \"binary\", case when \"binary\" is null then 'unknown' else 'found' end as binary_status from n left join c on c.name = n.name left join b on b.name = n.name",
+)
