@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import sys
@@ -118,10 +120,17 @@ def turn_to(owner: str) -> None:
             for forget in _caches:
                 forget()
             gc.collect()
-            pa.default_memory_pool().release_unused()
+            give_back()
         _owner[0] = owner
 
 
+def give_back() -> None:
+    """Return freed memory to the machine; a waiting worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, most_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about most_bytes of text, so a worker's memory doesn't follow the batch size."""
     turn_to(sys._getframe(1).f_globals["__name__"])  # the module whose task reads
@@ -135,6 +144,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, most
             j = max(i + 1, min(j, n, i + most_rows))
             yield b.slice(i, j - i)
             i = j
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
