@@ -7,9 +7,9 @@ word, occurrences) with the counts.
 
 The model reads subword ids of a public vocabulary: embeddings, one causal attention head with a bias by distance, a residual
 sum, and an adaptive softmax over CLASSES classes (the most frequent ids each, the others in clusters by what stands beside them in
-words, with their share of the class as counted). It starts from the low-rank factors of the bigram log ratios of all training windows and
-is trained by local Adam on every task's windows with parameters averaged between rounds. Training windows are one in STRIDE of the
-runs of RUN_WORDS words of every training document, so they grow with the corpus. A text is scored in windows of SPAN ids
+words, with their share of the class as counted). It starts from the low-rank factors of the bigram log ratios of all training ids and
+is trained by local Adam on every task's windows with parameters averaged between rounds. Training windows of SPAN ids lie side by
+side over the whole of every training document, its end included. A text is scored in windows of SPAN ids
 that overlap by SPAN - STEP: each id is scored once, with SPAN - STEP to SPAN ids of context where the text has them; all
 windows of a batch go through batched masked attention.
 
@@ -44,7 +44,8 @@ CLASSES, SINGLE = 224, 160
 #: Ids with an embedding of their own; the others share RARE embeddings.
 INPUTS, RARE = 2048, 64
 SPAN, STEP = 32, 24
-STRIDE, RUN_WORDS = 24, 20
+#: Windows in a row of the table of training windows, at most.
+PART_WINDOWS = 1 << 14
 #: The rounds share a task's windows, each used once; with fewer than LEAST_STEPS batches each round uses all, up to EPOCHS times.
 ROUNDS, LEAST_STEPS, EPOCHS, BATCH, RATE = 2, 500, 6, 48, 0.01
 #: Ids scored together, which bounds the arrays of positions.
@@ -392,41 +393,35 @@ def encode_words(words: pa.Array, hot: Hot, encoder: WordEncoder) -> tuple[np.nd
     return gathered(flat, starts[index], each), each, place[index], coded
 
 
+def tiles(ids: np.ndarray, counts: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """int16 rows and classes, (n, SPAN) each: windows side by side over each document, every id and end the goal of one place."""
+    room = -(-(counts + 1) // SPAN) * SPAN
+    begin = np.cumsum(room) - room
+    x, y = np.full(int(room.sum()), INPUTS, np.int16), np.full(int(room.sum()), -1, np.int16)
+    at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
+    x[begin], x[at + 1] = shape.rows[shape.end], shape.rows[ids]
+    y[at], y[begin + counts] = shape.classes[ids], shape.classes[shape.end]
+    return x.reshape(-1, SPAN), y.reshape(-1, SPAN)
+
+
 def training_windows(docs: DataFrame, hot_name: str, tokenizer: str, shape: Shape) -> DataFrame:
-    """windows: int16 rows and classes, (n, SPAN) each, of one in STRIDE runs of words of every training document."""
+    """windows: int16 rows and classes, (n, SPAN) each, of all ids of every training document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, encoder = _hot(hot_name), WordEncoder.of(tokenizer)
         for b in sliced(batches, "text", 8 << 20):
             words, bounds = split_words(b.column(1))
-            keys = b.column(0).to_pylist()
-            picks, first = [], []
-            for d, (lo, hi) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
-                if held_out(keys[d]):
-                    continue
-                phase = zlib.crc32(b"%d" % (keys[d] or 0)) // HELD_MOD % STRIDE
-                for at in range(lo + phase * RUN_WORDS, max(hi, lo + 1), STRIDE * RUN_WORDS):
-                    picks.append((at, min(hi, at + RUN_WORDS)))
-                    first.append(at == lo)
-            if not picks:
+            training = np.array([not held_out(d) for d in b.column(0).to_pylist()])
+            if not training.any():
                 continue
-            index = np.concatenate([np.arange(a, z) for a, z in picks])
-            ids, each, _, _ = encode_words(words.take(pa.array(index)), hot, encoder)
-            ends = np.concatenate([[0], np.cumsum(each)])
-            rows, goals, at = [], [], 0
-            stops = set(bounds[1:].tolist())
-            for (a, z), begins in zip(picks, first, strict=True):
-                own = ids[ends[at] : ends[at + z - a]]
-                at += z - a
-                run_ids = np.concatenate([[shape.end] if begins else [], own, [shape.end] if z in stops else []]).astype(np.int64)[: SPAN + 1]
-                if len(run_ids) < 2:
-                    continue
-                x, y = np.full(SPAN, INPUTS, np.int16), np.full(SPAN, -1, np.int16)
-                x[: len(run_ids) - 1], y[: len(run_ids) - 1] = shape.rows[run_ids[:-1]], shape.classes[run_ids[1:]]
-                rows.append(x)
-                goals.append(y)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([rows, goals]).tobytes()], pa.binary()), pa.array([len(rows)], pa.int64())], ["windows", "n"])
+            sizes = np.diff(bounds)[training]
+            ids, each, _, _ = encode_words(words.filter(pa.array(np.repeat(training, np.diff(bounds)))), hot, encoder)
+            spots = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
+            x, y = tiles(ids, np.diff(spots), shape)
+            order = np.random.default_rng(7).permutation(len(x))  # a step's windows come from many documents
+            for i in range(0, len(x), PART_WINDOWS):
+                part = order[i : i + PART_WINDOWS]
+                yield pa.RecordBatch.from_arrays([pa.array([x[part].tobytes() + y[part].tobytes()], pa.binary()), pa.array([len(part)], pa.int64())], ["windows", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "windows binary, n long")
 

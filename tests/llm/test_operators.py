@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +140,31 @@ def test_language_model(spark):
     assert len(alone) == len(held) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and np.isfinite(r["score"]) for r in alone)
 
 
+def test_training_windows_hold_every_id(spark):
+    rows = sample(n=40) + [(700 + i, "http://example.org/" + "abcdefgh" * 12 + " end of it", "a") for i in range(9)]
+    tokenizer = token_store.default_tokenizer()
+    docs = make(spark, rows).select("doc_id", "text")
+    counts = attention_lm.word_counts(docs)
+    hot = attention_lm.choose_hot(counts, tokenizer, 5)
+    shape = attention_lm.shape_of(hot, 3, 49408)
+    name = f"{scratch(spark, 'hot')}.bin"
+    fs, local = attention_lm.split_path(name)
+    fs.create_dir(local.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(local, compression=None) as out:
+        out.write(hot.dump())
+    got, want = Counter(), Counter()
+    for raw, n in attention_lm.training_windows(docs, name, tokenizer, shape).collect():
+        x, y = attention_lm._arrays(raw, n)
+        got.update(zip(x[y >= 0].tolist(), y[y >= 0].tolist(), strict=True))
+    encoder = attention_lm.WordEncoder.of(tokenizer)
+    for d, t, _ in rows:
+        if not attention_lm.held_out(d):
+            ids = [i for w in attention_lm._ids(encoder, [x.decode() for x in (t or "").encode().lower().split()]) for i in w]
+            seq = np.array([shape.end, *ids, shape.end])
+            want.update(zip(shape.rows[seq[:-1]].tolist(), shape.classes[seq[1:]].tolist(), strict=True))
+    assert got == want
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     p = {k: x.astype(np.float64) for k, x in attention_lm.initial(rng.random((attention_lm.INPUTS + attention_lm.RARE, attention_lm.CLASSES))).items()}
