@@ -3,7 +3,7 @@
 Words are the text's (A-Z lower-cased, cut at white space), each document closed by an end. Their counts over all training
 documents are a distributed aggregation. The most frequent words (at most HOT_WORDS) go with their counts and subword ids into one
 file in the shared folder, which bounds what a worker holds; the base's sums for all other words come from a join of (row,
-word, occurrences) with the counts.
+word, occurrences) with the counts. Subword ids are counted over all words, in a pass over the counts.
 
 The model reads subword ids of a public vocabulary: embeddings, one causal attention head with a bias by distance, a residual
 sum, and an adaptive softmax over CLASSES classes (the most frequent ids each, the others in clusters by what stands beside them in
@@ -23,7 +23,7 @@ from __future__ import annotations
 import io
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,23 +156,26 @@ class Shape:
     rows: np.ndarray
 
 
-def _clusters(hot: Hot, chosen: np.ndarray, heads: np.ndarray, mass: np.ndarray, k: int, size: int) -> np.ndarray:
-    """k groups of the chosen ids by what stands beside them in frequent words (k-means on root shares, weighted by mass)."""
+def _beside(seen: np.ndarray, flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, chosen: np.ndarray, heads: np.ndarray, size: int) -> None:
+    """Adds to seen (chosen id, head before it, head after it, word begins, word ends) what these words have."""
     place, head = np.full(size, -1), np.full(size, -1)
     place[chosen], head[heads] = np.arange(len(chosen)), np.arange(len(heads))
-    weight = np.repeat(hot.counts, np.diff(hot.starts)).astype(np.float64)
-    word = np.repeat(np.arange(len(hot.counts)), np.diff(hot.starts))
-    seen = np.zeros((len(chosen), 2 * len(heads) + 2))
+    weight = np.repeat(counts, np.diff(starts)).astype(np.float64)
+    word = np.repeat(np.arange(len(counts)), np.diff(starts))
     inner = word[1:] == word[:-1] if len(word) else np.zeros(0, bool)
-    for here, there, off in ((hot.flat[1:], hot.flat[:-1], 0), (hot.flat[:-1], hot.flat[1:], len(heads))):
+    for here, there, off in ((flat[1:], flat[:-1], 0), (flat[:-1], flat[1:], len(heads))):
         use = inner & (place[here] >= 0)
         edge = use & (head[there] >= 0)
         np.add.at(seen, (place[here[edge]], off + head[there[edge]]), weight[1:][edge])
-    for side, first in ((hot.starts[:-1], 2 * len(heads)), (hot.starts[1:] - 1, 2 * len(heads) + 1)):
-        filled = np.diff(hot.starts) > 0
-        at = hot.flat[side[filled]]
+    for side, first in ((starts[:-1], 2 * len(heads)), (starts[1:] - 1, 2 * len(heads) + 1)):
+        filled = np.diff(starts) > 0
+        at = flat[side[filled]]
         use = place[at] >= 0
-        np.add.at(seen, (place[at[use]], first), hot.counts[filled][use].astype(np.float64))
+        np.add.at(seen, (place[at[use]], first), counts[filled][use].astype(np.float64))
+
+
+def _clusters(seen: np.ndarray, mass: np.ndarray, k: int) -> np.ndarray:
+    """k groups of ids by what stands beside them in words (k-means on root shares, weighted by mass)."""
     x = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1))
     rng = np.random.default_rng(7)
     centre = x[np.sort(rng.choice(len(x), k, replace=False, p=mass / mass.sum()))]
@@ -184,20 +187,63 @@ def _clusters(hot: Hot, chosen: np.ndarray, heads: np.ndarray, mass: np.ndarray,
     return group
 
 
-def shape_of(hot: Hot, ends: int, size: int) -> Shape:
-    n = np.bincount(hot.flat, np.repeat(hot.counts, np.diff(hot.starts)), minlength=size)
-    end = size - 1
-    n[end] = ends
+def _shape(n: np.ndarray, beside: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Shape:
+    """From the counts of all ids, of which the last is the end; beside gives what stands beside chosen ids, given these and the heads."""
+    size = len(n)
     order = np.lexsort((np.arange(size), -n))
     mass = n + 0.5
     classes = np.full(size, CLASSES - 1, np.int64)  # the last class is for ids without an embedding of their own
     classes[order[:SINGLE]] = np.arange(SINGLE)
     tail = order[SINGLE:INPUTS]
-    classes[tail] = SINGLE + _clusters(hot, tail, order[:SINGLE], mass[tail], CLASSES - SINGLE - 1, size)
+    classes[tail] = SINGLE + _clusters(beside(tail, order[:SINGLE]), mass[tail], CLASSES - SINGLE - 1)
     rows = np.empty(size, np.int64)
     rows[order[:INPUTS]] = np.arange(INPUTS)
     rows[order[INPUTS:]] = INPUTS + order[INPUTS:] % RARE
-    return Shape(size, end, classes, np.log10(mass / np.bincount(classes, mass, CLASSES)[classes]), rows)
+    return Shape(size, size - 1, classes, np.log10(mass / np.bincount(classes, mass, CLASSES)[classes]), rows)
+
+
+def shape_of(hot: Hot, ends: int, size: int) -> Shape:
+    """Of a corpus whose words are all in hot."""
+    n = np.bincount(hot.flat, np.repeat(hot.counts, np.diff(hot.starts)), minlength=size)
+    n[size - 1] = ends
+
+    def beside(chosen: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        seen = np.zeros((len(chosen), 2 * len(heads) + 2))
+        _beside(seen, hot.flat, hot.starts, hot.counts, chosen, heads, size)
+        return seen
+
+    return _shape(n, beside)
+
+
+def corpus_shape(counts: DataFrame, tokenizer: str, ends: int, size: int) -> Shape:
+    """Of the words of all rows of counts, encoded on the executors; the driver gets sums by id and by (id, neighbour)."""
+
+    def summed(cells: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder, total = WordEncoder.of(tokenizer), np.zeros(cells)
+            for b in merged(sliced(batches, "word", 4 << 20, 40_000), 4 << 20):
+                ids, each = encoder.encode(b.column(0))
+                add(total, ids.astype(np.int64), np.concatenate([[0], np.cumsum(each)]), b.column(1).to_numpy())
+            at = np.flatnonzero(total)
+            for i in range(0, len(at), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]].astype(np.int64))], ["cell", "n"])
+
+        out = np.zeros(cells)
+        words = counts.where(F.col("word") != END.decode()).select("word", "n")
+        for r in words.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # at most `cells` rows
+            out[r["cell"]] = r["n"]
+        return out
+
+    def count(total: np.ndarray, flat: np.ndarray, starts: np.ndarray, n: np.ndarray) -> None:
+        total += np.bincount(flat, np.repeat(n, np.diff(starts)), minlength=size)
+
+    def beside(chosen: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        sides = 2 * len(heads) + 2
+        return summed(len(chosen) * sides, lambda total, flat, starts, n: _beside(total.reshape(-1, sides), flat, starts, n, chosen, heads, size)).reshape(-1, sides)
+
+    n = summed(size, count)
+    n[size - 1] = ends
+    return _shape(n, beside)
 
 
 Params = dict[str, np.ndarray]
@@ -496,7 +542,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, hot_words: int =
     fs.create_dir(local.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(local, compression=None) as out:
         out.write(hot.dump())
-    shape = shape_of(hot, ends, WordEncoder.of(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True))
+    shape = corpus_shape(counts, tokenizer, ends, WordEncoder.of(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True))
     windows = written(training_windows(docs, hot_name, tokenizer, shape), "windows")
     params = pack(p := fit(windows.repartition(max(1, width(spark) // 4))))
     del hot

@@ -165,6 +165,14 @@ def test_training_windows_hold_every_id(spark):
     assert got == want
 
 
+def test_held_words_do_not_change_the_scores(spark):
+    docs = make(spark, sample(n=60) + [(800, "q" * 70 + " alpha", "a")])
+    key = lambda r: (str(r[0]), r[2], round(r[5], 6))
+    none, most = (sorted(plain(attention_lm.score_texts(docs, hot_words=k)), key=key) for k in (0, 1000))
+    for g, w in zip(none, most, strict=True):
+        assert g[:5] == w[:5] and g[6] == pytest.approx(w[6], rel=1e-3)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     p = {k: x.astype(np.float64) for k, x in attention_lm.initial(rng.random((attention_lm.INPUTS + attention_lm.RARE, attention_lm.CLASSES))).items()}
