@@ -113,12 +113,24 @@ def line_runs(lines: DataFrame, least: int) -> DataFrame:
 
 
 def search_lines(docs: DataFrame, pattern: str, regex: bool = False, ignore_case: bool = True) -> DataFrame:
-    """doc_id, line, col, match of every hit in the lines of the texts (1-based)."""
+    """doc_id, line, col (in characters), match of every hit in the lines of the texts (1-based).
+
+    A pattern that matches nothing at all also hits inside characters of two UTF-16 units, as Java's does."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
     body = pattern if regex else "\\Q" + pattern + "\\E"
     rx = ("(?i)" if ignore_case else "") + body
-    hit = lines.where(F.col("content").rlike(rx))
-    return hit.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), F.regexp_instr("content", F.lit(rx)).cast("long").alias("col"), F.regexp_extract("content", f"({rx})", 1).alias("match"))
+    hit = lines.where(F.col("content").rlike(rx)).withColumns({"found": F.regexp_extract_all("content", F.lit(rx), F.lit(0)), "between": F.split("content", rx, -1)})
+    # an empty hit at a line's start has no piece before it
+    before = F.when(F.size("between") <= F.size("found"), F.concat(F.array(F.lit("")), "between")).otherwise(F.col("between"))
+    step = F.zip_with(F.slice(before, 1, F.size("found")), "found", lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("long"), m.alias("match")))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<col:int,match:string>>").alias("hits"))
+    placed = F.aggregate(
+        step,
+        start,
+        lambda a, x: F.struct((a["at"] + x["gap"] + x["long"]).alias("at"), F.concat(a["hits"], F.array(F.struct((a["at"] + x["gap"]).alias("col"), x["match"].alias("match")))).alias("hits")),
+        lambda a: a["hits"],
+    )
+    return hit.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), F.explode(placed).alias("hit")).select("doc_id", "line", F.col("hit.col").cast("long").alias("col"), "hit.match")
 
 
 def normalised_code(line: Column) -> Column:

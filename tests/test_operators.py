@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -189,3 +190,12 @@ def test_wildcards_are_characters(spark):
     s = spark.createDataFrame([(1, 1, "a_b", "x.a_b", "function", 1), (2, 1, "axb", "x.axb", "function", 2)], "symbol_id long, file_id long, name string, dotted_name string, kind string, line long")
     f = spark.createDataFrame([(1, "p")], "file_id long, path string")
     assert [r["symbol_id"] for r in symbols.query_symbols(s, f, "A_B").collect()] == [1]
+
+
+def test_search_finds_every_hit_of_a_line(spark):
+    docs = [(1, "a password, secret \U0001f600 Passwd; xpass pass\nnothing\nsecret"), (2, None), (3, ""), (4, "secretsecret pass")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for rx, ids in ((r"\bpass\w*|\bsecret", (1, 2, 3, 4)), (r"s+", (1, 2, 3, 4)), (r"e*", (2, 3, 4))):
+        got = sorted(map(tuple, retrieval.search_lines(df.where(F.col("doc_id").isin(*ids)), rx, regex=True).collect()))
+        lines = [(d, k, x) for d, t in docs if t is not None and d in ids for k, x in enumerate(t.split("\n"), 1)]
+        assert got == sorted((d, k, m.start() + 1, m.group()) for d, k, x in lines for m in re.finditer(rx, x, re.I))
