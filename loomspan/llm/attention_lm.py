@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, sliced, split_path, width, written
+from .common import on_change, scratch, ship, sliced, split_path, turn_to, width, written
 from .token_store import WordEncoder, default_tokenizer, gathered
 
 HELD_MOD, HELD_REST = 7, 2
@@ -46,8 +46,8 @@ INPUTS, RARE = 2048, 64
 SPAN, STEP = 32, 24
 #: Windows in a row of the table of training windows, at most.
 PART_WINDOWS = 1 << 14
-#: The rounds share a task's windows, each used once; with fewer than LEAST_STEPS batches each round uses all, up to EPOCHS times.
-ROUNDS, LEAST_STEPS, EPOCHS, BATCH, RATE = 2, 500, 6, 48, 0.01
+#: Each round uses all of a task's windows once, at every size.
+ROUNDS, BATCH, RATE = 2, 48, 0.01
 #: Ids scored together, which bounds the arrays of positions.
 PART_IDS = 300_000
 END = b"\n"  # not a word, as it is white space
@@ -85,6 +85,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word and n over all training documents; the end is the word "\\n"."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("counting")  # needs nothing that other tasks hold
         for b in merged(sliced(batches, "text", 16 << 20, 40_000), 16 << 20):  # fewer partial counts
             words, bounds = split_words(b.column(1))
             training = np.array([not held_out(d) for d in b.column(0).to_pylist()])
@@ -224,6 +225,7 @@ def corpus_shape(counts: DataFrame, tokenizer: str, ends: int, size: int) -> Sha
             for b in merged(sliced(batches, "word", 4 << 20, 40_000), 4 << 20):
                 ids, each = encoder.encode(b.column(0))
                 add(total, ids.astype(np.int64), np.concatenate([[0], np.cumsum(each)]), b.column(1).to_numpy())
+                encoder.forget()  # no word comes twice
             at = np.flatnonzero(total)
             for i in range(0, len(at), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]].astype(np.int64))], ["cell", "n"])
@@ -310,13 +312,18 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray) -> tuple[float, Params]:
     return loss, g
 
 
-def adam(p: Params, windows: list[tuple[np.ndarray, np.ndarray]], steps: int, rate: float) -> Params:
-    """So many steps over the windows in order, again from the first after the last."""
+def schedule(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The batches of a round: all windows once."""
+    return [(x[i : i + BATCH], y[i : i + BATCH]) for i in range(0, len(x), BATCH)]
+
+
+def adam(p: Params, windows: list[tuple[np.ndarray, np.ndarray]], rate: float) -> Params:
+    """A step for each of the windows' batches in order."""
     p = {k: x.copy() for k, x in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for i in range(steps):
-        _, g = gradients(p, *windows[i % len(windows)])
-        now = rate * min(1.0, (i + 1) / 10) * (1 - 0.9 * i / steps)
+    for i, batch in enumerate(windows):
+        _, g = gradients(p, *batch)
+        now = rate * min(1.0, (i + 1) / 10) * (1 - 0.9 * i / len(windows))
         for k in p:
             m[k] += 0.1 * (g[k] - m[k])
             v[k] += 0.01 * (g[k] * g[k] - v[k])
@@ -409,6 +416,7 @@ class Scorer:
 
 
 _HOT: dict[str, Hot] = {}
+on_change(_HOT.clear)
 
 
 def _hot(name: str) -> Hot:
@@ -502,21 +510,18 @@ def fit(windows: DataFrame) -> Params:
         raw, rate = pack(p), RATE / (1 + 2 * k)
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start, own, left, weight = unpack(raw, p), [], None, 0  # noqa: B023
+            turn_to("training")  # needs nothing that other tasks hold
+            xs, ys = [], []
             for b in batches:
-                for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x, y = _arrays(w, n)
-                    if left is not None:
-                        x, y = np.concatenate([left[0], x]), np.concatenate([left[1], y])
-                    own += [(x[i : i + BATCH].astype(np.int16), y[i : i + BATCH].astype(np.int16)) for i in range(0, len(x) - BATCH + 1, BATCH)]
-                    left = x[len(x) // BATCH * BATCH :], y[len(y) // BATCH * BATCH :]
-                    weight += n
-            if left is not None and (len(left[0]) or not own) and len(left[0]):
-                own.append(left)
-            own = own[k::ROUNDS] if len(own) >= LEAST_STEPS else own  # noqa: B023
-            if own:
-                found = adam(start, own, max(len(own), min(LEAST_STEPS, EPOCHS * len(own))), rate)  # noqa: B023
-                yield pa.RecordBatch.from_arrays([pa.array([pack(found)], pa.binary()), pa.array([weight], pa.int64())], ["params", "n"])
+                for w, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    both = np.frombuffer(w.as_py(), np.int16).reshape(2, n, SPAN)
+                    xs.append(both[0])
+                    ys.append(both[1])
+            if xs:
+                x, y = np.concatenate(xs), np.concatenate(ys)
+                del xs, ys, both
+                found = adam(unpack(raw, p), schedule(x, y), rate)  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array([pack(found)], pa.binary()), pa.array([len(x)], pa.int64())], ["params", "n"])
 
         total, weight = None, 0
         found = written(windows.mapInArrow(train, "params binary, n long"), "params")  # all tasks at once

@@ -173,6 +173,15 @@ def test_held_words_do_not_change_the_scores(spark):
         assert g[:5] == w[:5] and g[6] == pytest.approx(w[6], rel=1e-3)
 
 
+@pytest.mark.parametrize("n", [1, 48, 1000, 48 * 600 + 5])
+def test_a_round_uses_every_window_once(n, monkeypatch):
+    seen = []
+    monkeypatch.setattr(attention_lm, "gradients", lambda p, x, y: (seen.append(x[:, 0]), (0.0, {k: np.zeros_like(v) for k, v in p.items()}))[1])
+    x = np.tile(np.arange(n, dtype=np.int32)[:, None], (1, attention_lm.SPAN))
+    attention_lm.adam({"bias": np.zeros(3, np.float32)}, attention_lm.schedule(x, x), 0.01)
+    assert np.concatenate(seen).tolist() == list(range(n))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     p = {k: x.astype(np.float64) for k, x in attention_lm.initial(rng.random((attention_lm.INPUTS + attention_lm.RARE, attention_lm.CLASSES))).items()}
