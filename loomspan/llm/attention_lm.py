@@ -23,7 +23,7 @@ from __future__ import annotations
 import io
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,9 +48,12 @@ SPAN, STEP = 32, 24
 PART_WINDOWS = 1 << 14
 #: Each round uses all of a task's windows once, at every size.
 ROUNDS, BATCH, RATE = 2, 48, 0.01
+#: A local run has so many steps or more, else fewer tasks train.
+TASK_STEPS = 100
 #: Ids scored together, which bounds the arrays of positions.
 PART_IDS = 300_000
 END = b"\n"  # not a word, as it is white space
+NO_CLASS = 255
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -217,22 +220,31 @@ def shape_of(hot: Hot, ends: int, size: int) -> Shape:
 
 
 def corpus_shape(counts: DataFrame, tokenizer: str, ends: int, size: int) -> Shape:
-    """Of the words of all rows of counts, encoded on the executors; the driver gets sums by id and by (id, neighbour)."""
+    """Of the words of all rows of counts, encoded once on the executors; the driver gets sums by id and by (id, neighbour)."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder.of(tokenizer)
+        for b in merged(sliced(batches, "word", 4 << 20, 40_000), 4 << 20):
+            ids, each = encoder.encode(b.column(0))
+            encoder.forget()  # no word comes twice
+            packed = [x.astype(kind).tobytes() for x, kind in ((ids, "<i4"), (each, "<i4"), (b.column(1).to_numpy(), "<i8"))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["ids", "each", "n"])
+
+    words = counts.where(F.col("word") != END.decode()).select("word", "n")
+    coded = written(words.mapInArrow(encode, "ids binary, each binary, n binary"), "coded")
 
     def summed(cells: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder, total = WordEncoder.of(tokenizer), np.zeros(cells)
-            for b in merged(sliced(batches, "word", 4 << 20, 40_000), 4 << 20):
-                ids, each = encoder.encode(b.column(0))
-                add(total, ids.astype(np.int64), np.concatenate([[0], np.cumsum(each)]), b.column(1).to_numpy())
-                encoder.forget()  # no word comes twice
+            total = np.zeros(cells)
+            for b in batches:
+                for ids, each, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    add(total, np.frombuffer(ids, "<i4").astype(np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(each, "<i4"))]), np.frombuffer(n, "<i8"))
             at = np.flatnonzero(total)
             for i in range(0, len(at), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]].astype(np.int64))], ["cell", "n"])
 
         out = np.zeros(cells)
-        words = counts.where(F.col("word") != END.decode()).select("word", "n")
-        for r in words.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # at most `cells` rows
+        for r in coded.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # at most `cells` rows
             out[r["cell"]] = r["n"]
         return out
 
@@ -277,38 +289,61 @@ _AGE = np.arange(SPAN)[:, None] - np.arange(SPAN)[None, :]
 _CAUSAL = _AGE >= 0
 
 
+def _safe_exp(s: np.ndarray, bound: float, ones: np.ndarray) -> np.ndarray:
+    """s becomes its exp, and the sums of its rows are returned; where no value can pass bound 80, no maximum needs to be taken off."""
+    if not bound < 80:
+        s -= s.max(axis=-1, keepdims=True)
+    np.exp(s, out=s)
+    return s @ ones
+
+
+def _norm(x: np.ndarray, axis: int = -1) -> float:
+    return float(np.sqrt((x * x).sum(axis=axis)).max())
+
+
 def gradients(p: Params, x: np.ndarray, y: np.ndarray) -> tuple[float, Params]:
     """The mean log loss of classes y (-1: none) after rows x, windows of one length, and its gradients."""
     b, t = x.shape
+    kind, goal = p["embed"].dtype, y.ravel()
     causal, age = _CAUSAL[:t, :t], _AGE[:t, :t]
-    e = p["embed"][x]
-    q, k, v = e @ p["wq"], e @ p["wk"], e @ p["wv"]
-    root = np.float32(1 / math.sqrt(DIM))
-    s = np.where(causal, q @ k.transpose(0, 2, 1) * root + p["far"][np.maximum(age, 0)], np.float32(-1e9))
-    s = np.exp(s - s.max(axis=2, keepdims=True))
-    a = s / s.sum(axis=2, keepdims=True)
-    h = e + a @ v
-    flat, real = h.reshape(-1, DIM), np.flatnonzero(y.ravel() >= 0)
-    logits = flat[real] @ p["head"] + p["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    prob = np.exp(logits)
-    prob /= prob.sum(axis=1, keepdims=True)
-    goal = y.ravel()[real]
-    loss = float(-np.log(prob[np.arange(len(real)), goal] + 1e-30).mean())
-    prob[np.arange(len(real)), goal] -= 1
-    prob /= len(real)
-    dh = np.zeros_like(flat)
-    dh[real] = prob @ p["head"].T
-    g = {"head": flat[real].T @ prob, "bias": prob.sum(axis=0)}
-    dh = dh.reshape(b, t, DIM)
-    da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    g["far"] = np.bincount(np.maximum(age, 0).ravel(), (ds.sum(axis=0) * causal).ravel(), SPAN).astype(np.float32)
-    dq, dk = ds @ k * root, ds.transpose(0, 2, 1) @ q * root
-    two = e.reshape(-1, DIM).T
-    g["wq"], g["wk"], g["wv"] = two @ dq.reshape(-1, DIM), two @ dk.reshape(-1, DIM), two @ dv.reshape(-1, DIM)
-    de = (dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T).reshape(-1, DIM)
-    g["embed"] = np.column_stack([np.bincount(x.ravel(), de[:, j], len(p["embed"])) for j in range(DIM)]).astype(np.float32)
+    root = kind.type(1 / math.sqrt(DIM))
+    wide = lambda z: z.reshape(b, t, -1)
+    turned = lambda z: np.ascontiguousarray(z.transpose(0, 2, 1))
+    e = p["embed"].take(x.ravel(), axis=0)
+    q, k, v = e @ (p["wq"] * root), wide(e @ p["wk"]), wide(e @ p["wv"])
+    a = wide(q) @ turned(k)
+    a += np.where(causal, p["far"][np.maximum(age, 0)], kind.type(-1e9))
+    a /= _safe_exp(a, _norm(q) * _norm(k) + float(np.abs(p["far"]).max()), np.ones((t, 1), kind))
+    h = np.ones((b * t, DIM + 1), kind)  # the last column takes the bias
+    np.add(e, (a @ v).reshape(-1, DIM), out=h[:, :DIM])
+    head = np.vstack([p["head"], p["bias"][None]])
+    prob = h @ head
+    rows, real = np.arange(b * t), goal >= 0
+    many = int(real.sum())
+    bound = _norm(h) * _norm(head, 0)
+    if not bound < 80:
+        prob -= prob.max(axis=1, keepdims=True)
+    meant = prob[rows, goal]
+    total = _safe_exp(prob, 0, np.ones(len(head.T), kind))
+    loss = float((np.log(total) - meant)[real].mean())
+    prob *= (real / (total * many)).astype(kind)[:, None]
+    prob[rows[real], goal[real]] -= kind.type(1 / many)
+    dh = prob @ np.ascontiguousarray(p["head"].T)
+    g_head = (prob.T @ h).T
+    dh3 = wide(dh)
+    ds = dh3 @ turned(v)
+    dv = (a.transpose(0, 2, 1) @ dh3).reshape(-1, DIM)
+    ds *= a
+    a *= ds @ np.ones((t, 1), kind)
+    ds -= a
+    far = np.bincount(np.maximum(age, 0).ravel(), (ds.sum(axis=0) * causal).ravel(), SPAN)
+    dq, dk = (ds @ k).reshape(-1, DIM) * root, (ds.transpose(0, 2, 1) @ wide(q)).reshape(-1, DIM)
+    g = {"head": g_head[:DIM], "bias": g_head[DIM], "far": far.astype(kind), "wq": e.T @ dq, "wk": e.T @ dk, "wv": e.T @ dv}
+    dh += dq @ p["wq"].T
+    dh += dk @ p["wk"].T
+    dh += dv @ p["wv"].T
+    cells = (x.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
+    g["embed"] = np.bincount(cells, dh.ravel(), p["embed"].size).reshape(-1, DIM).astype(kind)
     return loss, g
 
 
@@ -317,17 +352,28 @@ def schedule(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
     return [(x[i : i + BATCH], y[i : i + BATCH]) for i in range(0, len(x), BATCH)]
 
 
-def adam(p: Params, windows: list[tuple[np.ndarray, np.ndarray]], rate: float) -> Params:
-    """A step for each of the windows' batches in order."""
+def adam(p: Params, windows: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, steps: int | None = None) -> Params:
+    """A step for each of the windows' batches in order; steps is their number, where they are no list."""
     p = {k: x.copy() for k, x in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    m, v, room = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(3))
+    steps = len(windows) if steps is None else steps
     for i, batch in enumerate(windows):
         _, g = gradients(p, *batch)
-        now = rate * min(1.0, (i + 1) / 10) * (1 - 0.9 * i / len(windows))
-        for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.01 * (g[k] * g[k] - v[k])
-            p[k] -= (now / (1 - 0.9 ** (i + 1))) * m[k] / (np.sqrt(v[k] / (1 - 0.99 ** (i + 1))) + 1e-8)
+        now = rate * min(1.0, (i + 1) / 10) * (1 - 0.9 * min(1.0, i / steps))
+        now *= math.sqrt(1 - 0.99 ** (i + 1)) / (1 - 0.9 ** (i + 1))
+        small = 1e-8 * math.sqrt(1 - 0.99 ** (i + 1))
+        for k, w in room.items():
+            m[k] *= 0.9
+            m[k] += np.multiply(g[k], 0.1, out=w)
+            v[k] *= 0.99
+            np.multiply(g[k], g[k], out=w)
+            w *= 0.01
+            v[k] += w
+            np.sqrt(v[k], out=w)
+            w += small
+            np.divide(m[k], w, out=w)
+            w *= now
+            p[k] -= w
     return p
 
 
@@ -380,31 +426,32 @@ class Scorer:
         rows[last] = PAD
         starts = np.repeat(begin - (SPAN - STEP), windows) + STEP * (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))
         owner, out = np.repeat(np.arange(len(counts)), windows), np.zeros(len(counts))
-        wide = np.arange(SPAN)
-        for i in range(0, len(starts), 64):
-            x = rows[starts[i : i + 64, None] + wide]
-            y = goals[starts[i : i + 64, None] + wide[SPAN - STEP :]].ravel()
-            w = np.matmul(self.q[x[:, SPAN - STEP :]], self.k[x].transpose(0, 2, 1))
+        wide, late, most = np.arange(SPAN), SPAN - STEP, 64
+        held = np.empty((most * STEP, CLASSES), np.float32)
+        for i in range(0, len(starts), most):
+            x = rows[starts[i : i + most, None] + wide]
+            y, n = goals[starts[i : i + most, None] + wide[late:]].ravel(), len(x)
+            keys, own = x.ravel(), x[:, late:].ravel()
+            w = self.q.take(own, axis=0).reshape(n, STEP, -1) @ np.ascontiguousarray(self.k.take(keys, axis=0).reshape(n, SPAN, -1).transpose(0, 2, 1))
             w += self.far
             if not self.small:
                 w -= w.max(axis=2, keepdims=True)
             np.exp(w, out=w)
-            h = np.matmul(w, self.v[x])
-            total = h[:, :, DIM:].copy()
+            h = (w @ self.v.take(keys, axis=0).reshape(n, SPAN, -1)).reshape(n * STEP, -1)
+            total = h[:, DIM:].copy()
             total[total == 0] = 1  # after a document's end there is nothing to attend to
             h /= total
-            h += self.embed[x[:, SPAN - STEP :]]
-            logits = h.reshape(-1, DIM + 1) @ self.head
+            h += self.embed.take(own, axis=0)
+            logits = np.matmul(h, self.head, out=held[: len(h)])
             if not self.plain:
                 logits -= logits.max(axis=1, keepdims=True)
             got = logits[np.arange(len(y)), s.classes[y]]
             np.exp(logits, out=logits)
             each = (got - np.log(logits @ self.ones)) / math.log(10) + s.share[y]
             each[y < 0] = 0
-            out += np.bincount(owner[i : i + 64], each.reshape(-1, STEP).sum(axis=1, dtype=np.float64), len(counts))
+            out += np.bincount(owner[i : i + most], each.reshape(-1, STEP).sum(axis=1, dtype=np.float64), len(counts))
         return out
 
-
     def score_parts(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The same for documents between bounds, about PART_IDS ids at a time."""
         out, i = [], 0
@@ -448,10 +495,11 @@ def encode_words(words: pa.Array, hot: Hot, encoder: WordEncoder) -> tuple[np.nd
 
 
 def tiles(ids: np.ndarray, counts: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """int16 rows and classes, (n, SPAN) each: windows side by side over each document, every id and end the goal of one place."""
+    """Rows (int16) and classes (a byte, NO_CLASS past the end), (n, SPAN) each: windows side by side over each document, every id and
+    end the goal of one place."""
     room = -(-(counts + 1) // SPAN) * SPAN
     begin = np.cumsum(room) - room
-    x, y = np.full(int(room.sum()), INPUTS, np.int16), np.full(int(room.sum()), -1, np.int16)
+    x, y = np.full(int(room.sum()), INPUTS, np.int16), np.full(int(room.sum()), NO_CLASS, np.uint8)
     at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
     x[begin], x[at + 1] = shape.rows[shape.end], shape.rows[ids]
     y[at], y[begin + counts] = shape.classes[ids], shape.classes[shape.end]
@@ -459,7 +507,7 @@ def tiles(ids: np.ndarray, counts: np.ndarray, shape: Shape) -> tuple[np.ndarray
 
 
 def training_windows(docs: DataFrame, hot_name: str, tokenizer: str, shape: Shape) -> DataFrame:
-    """windows: int16 rows and classes, (n, SPAN) each, of all ids of every training document."""
+    """windows: rows and classes, (n, SPAN) each, of all ids of every training document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, encoder = _hot(hot_name), WordEncoder.of(tokenizer)
@@ -481,50 +529,61 @@ def training_windows(docs: DataFrame, hot_name: str, tokenizer: str, shape: Shap
 
 
 def _arrays(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(raw, np.int16).reshape(2, n, SPAN)
-    return both[0].astype(np.int64), both[1].astype(np.int64)
+    """Rows and classes (-1: none)."""
+    x = np.frombuffer(raw, np.int16, n * SPAN).reshape(n, SPAN).astype(np.int64)
+    y = np.frombuffer(raw, np.uint8, n * SPAN, 2 * n * SPAN).reshape(n, SPAN).astype(np.int64)
+    y[y == NO_CLASS] = -1
+    return x, y
 
 
-def fit(windows: DataFrame) -> Params:
-    """Bigram counts of all windows, then rounds of local training with averaged parameters."""
+def fit(windows: DataFrame, tasks: int) -> Params:
+    """Bigram counts of all windows, then rounds of local training in so many tasks with averaged parameters."""
     spark = windows.sparkSession
     cells = (INPUTS + RARE) * CLASSES
+    # neighbouring files and splits in a task, without a shuffle: a batch's windows come from many documents already
+    dealt = windows.coalesce(tasks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total, windows_seen = np.zeros(cells, np.int64), 0
         for b in batches:
-            for raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, y = _arrays(raw, n)
+            for raw, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                x, y = _arrays(raw.as_buffer(), n)
                 total += np.bincount((x * CLASSES + y)[y >= 0], minlength=cells)
+                windows_seen += n
         at = np.flatnonzero(total)
         for i in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]])], ["cell", "n"])
-
-    bigrams = np.zeros(cells)
-    for r in windows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # at most `cells` rows
-        bigrams[r["cell"]] = r["n"]
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([windows_seen], pa.int64())], ["cell", "n"])
+
+    bigrams, many = np.zeros(cells), 0
+    for r in dealt.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # at most `cells` rows and one
+        if r["cell"] < 0:
+            many = r["n"]
+        else:
+            bigrams[r["cell"]] = r["n"]
     p = initial(bigrams.reshape(-1, CLASSES))
     if not bigrams.any():
         return p
+    steps = max(1, -(-many // (tasks * BATCH)))  # of a task, on average: the rate falls over so many
     for k in range(ROUNDS):
-        raw, rate = pack(p), RATE / (1 + 2 * k)
+        raw, rate = spark.sparkContext.broadcast(pack(p)), RATE / (1 + 2 * k)
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turn_to("training")  # needs nothing that other tasks hold
-            xs, ys = [], []
-            for b in batches:
-                for w, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                    both = np.frombuffer(w.as_py(), np.int16).reshape(2, n, SPAN)
-                    xs.append(both[0])
-                    ys.append(both[1])
-            if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                del xs, ys, both
-                found = adam(unpack(raw, p), schedule(x, y), rate)  # noqa: B023
-                yield pa.RecordBatch.from_arrays([pa.array([pack(found)], pa.binary()), pa.array([len(x)], pa.int64())], ["params", "n"])
+            seen = [0]
+
+            def stream() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for b in batches:
+                    for w, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                        seen[0] += n
+                        yield from schedule(*_arrays(w.as_buffer(), n))
+
+            found = adam(unpack(raw.value, p), stream(), rate, steps)  # noqa: B023
+            if seen[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([pack(found)], pa.binary()), pa.array([seen[0]], pa.int64())], ["params", "n"])
 
         total, weight = None, 0
-        found = written(windows.mapInArrow(train, "params binary, n long"), "params")  # all tasks at once
+        found = written(dealt.mapInArrow(train, "params binary, n long"), "params")  # all tasks at once
         for r in found.toLocalIterator():  # some tasks' parameters at a time
             part = np.frombuffer(r["params"], "<f4").astype(np.float64) * r["n"]
             total, weight = part if total is None else total + part, weight + r["n"]
@@ -549,7 +608,8 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, hot_words: int =
         out.write(hot.dump())
     shape = corpus_shape(counts, tokenizer, ends, WordEncoder.of(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True))
     windows = written(training_windows(docs, hot_name, tokenizer, shape), "windows")
-    params = pack(p := fit(windows.repartition(max(1, width(spark) // 4))))
+    made = windows.agg(F.sum("n")).first()[0] or 0
+    params = pack(p := fit(windows, max(1, min(width(spark), made // (BATCH * TASK_STEPS)))))
     del hot
     _HOT.clear()
     sizes = {k: x.shape for k, x in p.items()}
