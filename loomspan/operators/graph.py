@@ -272,13 +272,32 @@ def reachable_pairs(edges: DataFrame, roots: DataFrame, depth: int = 64) -> Data
     return seen
 
 
+def reaching(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (root, node, ...) whose root reaches the node.
+
+    Strong components become single nodes first, so that a closure is only made over what is left of the graph, and only
+    of components that pairs ask about; within one, all reach all.
+    """
+    strong = cut(strong_components(edges).select("node", "component"))
+
+    def placed(df: DataFrame, col: str, to: str) -> DataFrame:
+        named = strong.select(F.col("node").alias(col), F.col("component").alias(to))
+        return df.join(named, col, "left").withColumn(to, F.coalesce(to, col))
+
+    folded = cut(placed(placed(edges.select("src", "dst").distinct(), "src", "a"), "dst", "b").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    asked = cut(placed(placed(pairs, "root", "__a"), "node", "__b"))
+    found = reachable_pairs(folded, asked.where("__a <> __b").select(F.col("__a").alias("node")), depth=1 << 20)
+    hit = found.select(F.col("root").alias("__a"), F.col("node").alias("__b"))
+    return asked.where("__a = __b").unionByName(asked.where("__a <> __b").join(hit, ["__a", "__b"], "left_semi").select(asked.columns)).select(pairs.columns)
+
+
 def sandwich(refs: DataFrame, defs: DataFrame, sure: DataFrame, possible: DataFrame) -> DataFrame:
     """refs (name, root) with the definition (name, node) that is the only one reachable from root both over sure edges and over
     all possible edges; where the two don't agree on one, the target is null and status says why."""
-    roots = refs.select(F.col("root").alias("node")).distinct()
+    asked = cut(refs.distinct().join(defs, "name").select("root", "name", "node"))
 
     def hits(edges: DataFrame, tag: str) -> DataFrame:
-        within = reachable_pairs(edges, roots).join(defs, "node").select("root", "name", "node")
+        within = reaching(edges, asked)
         return within.groupBy("root", "name").agg(F.count("*").alias(f"n_{tag}"), F.min("node").alias(f"one_{tag}"))
 
     out = refs.join(hits(sure, "sure"), ["root", "name"], "left").join(hits(possible, "possible"), ["root", "name"], "left")

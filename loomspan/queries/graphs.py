@@ -13,21 +13,18 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def edges(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
-    """src, dst, line: consecutive parts of an order whose first line has at least so much quantity."""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, line, quantity: consecutive parts of an order, and the quantity of the first."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
-    df = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_linenumber").cast("long").alias("line"))
-    return df.where(F.col("dst").isNotNull() & (F.col("l_quantity") >= least)).select("src", "dst", "line")
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").alias("quantity"))
+    return df.where(F.col("dst").isNotNull())
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.col("p_brand").alias("rel"), F.col("p_type").alias("dir"), F.col("p_size").cast("long").alias("cx"))
 
 
-def _e(least: int = 0) -> str:
-    return f"e as (select src, dst, line from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as dst, cast(l_linenumber as bigint) as line, l_quantity as q from lineitem) where dst is not null and q >= {least})"
-
-
+_E = "e as (select src, dst, line, quantity from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as dst, cast(l_linenumber as bigint) as line, l_quantity as quantity from lineitem) where dst is not null)"
 _N = "n as (select p_partkey as node, p_name as name, p_brand as rel, p_type as dir, cast(p_size as bigint) as cx from part)"
 _D = "d as (select node, cast(sum(i) as bigint) as fan_in, cast(sum(o) as bigint) as fan_out from (select src as node, 0 as i, 1 as o from e union all select dst, 1, 0 from e) group by node)"
 
@@ -38,14 +35,14 @@ def _add(name: str, query: Query, sql: str | None) -> None:
         ORACLE[name] = sql
 
 
-_add("graph_degrees", lambda s, d: G.degrees(edges(s, d)), f"with {_e()}, {_D} select * from d")
+_add("graph_degrees", lambda s, d: G.degrees(edges(s, d)), f"with {_E}, {_D} select * from d")
 for _side in ("fan_in", "fan_out"):
-    _add(f"graph_{_side}", lambda s, d, c=_side: G.top(G.degrees(edges(s, d)), c, G.TOP_N, "node").select("node", c), f"with {_e()}, {_D} select node, {_side} from d order by {_side} desc, node limit 30")
-_add("graph_distinct_nodes", lambda s, d: G.degrees(edges(s, d)).agg(F.count("*").alias("nodes"), F.sum("fan_out").alias("edges")), f"with {_e()}, {_D} select count(*) as nodes, cast(sum(fan_out) as bigint) as edges from d")
+    _add(f"graph_{_side}", lambda s, d, c=_side: G.top(G.degrees(edges(s, d)), c, G.TOP_N, "node").select("node", c), f"with {_E}, {_D} select node, {_side} from d order by {_side} desc, node limit 30")
+_add("graph_distinct_nodes", lambda s, d: G.degrees(edges(s, d)).agg(F.count("*").alias("nodes"), F.sum("fan_out").alias("edges")), f"with {_E}, {_D} select count(*) as nodes, cast(sum(fan_out) as bigint) as edges from d")
 _add(
     "graph_classify",
     lambda s, d: G.classify(edges(s, d), nodes(s, d).where("node % 10 <> 0").select("node", "rel").unionByName(nodes(s, d).where("node % 7 = 0 and node % 10 <> 0").select("node", "rel"))),
-    f"""with {_e()}, {_N}, m as (select node, rel from n where node % 10 <> 0 union all select node, rel from n where node % 7 = 0 and node % 10 <> 0),
+    f"""with {_E}, {_N}, m as (select node, rel from n where node % 10 <> 0 union all select node, rel from n where node % 7 = 0 and node % 10 <> 0),
     g as (select node, count(*) as k, min(rel) as rel from m group by node),
     c as (select case when b.k is null then 'unknown' when b.k > 1 then 'ambiguous' when a.rel = b.rel then 'internal' else 'cross' end as kind from e left join g a on e.src = a.node left join g b on e.dst = b.node)
     select k.kind, count(c.kind) as n from (values ('internal'), ('cross'), ('ambiguous'), ('unknown')) k(kind) left join c on c.kind = k.kind group by k.kind""",
@@ -72,7 +69,7 @@ def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(
     "graph_resolve_ladder",
     _ladder,
-    f"""with {_e()}, {_NAMED}, refs as (select case when e.dst % 5 = 0 then b.name || '_x' else b.name end as name, a.rel from e join m a on a.node = e.src join m b on b.node = e.dst),
+    f"""with {_E}, {_NAMED}, refs as (select case when e.dst % 5 = 0 then b.name || '_x' else b.name end as name, a.rel from e join m a on a.node = e.src join m b on b.node = e.dst),
     bn as (select name, count(*) as k from m group by name), bf as (select name, rel, count(*) as k from m group by name, rel),
     r as (select case when bn.k is null then 'external' when bn.k = 1 then 'unique' when bf.k = 1 then 'same_file' else 'ambiguous' end as rung from refs left join bn on bn.name = refs.name left join bf on bf.name = refs.name and bf.rel = refs.rel)
     select v.rung, count(r.rung) as n from (values ('unique'), ('same_file'), ('ambiguous'), ('external')) v(rung) left join r on r.rung = v.rung group by v.rung""",
@@ -86,7 +83,7 @@ def _sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sites, m.select("name", F.col("node").alias("fkey"))
 
 
-_SITES = f"{_e()}, {_NAMED}, s as (select e.src as caller, case when e.dst % 3 = 0 then lower(m.name) when e.dst % 11 = 0 then 'nowhere' else upper(m.name) end as callee, e.line from e join m on m.node = e.dst), f as (select name, node as fkey from m)"
+_SITES = f"{_E}, {_NAMED}, s as (select e.src as caller, case when e.dst % 3 = 0 then lower(m.name) when e.dst % 11 = 0 then 'nowhere' else upper(m.name) end as callee, e.line from e join m on m.node = e.dst), f as (select name, node as fkey from m)"
 _add("graph_call_fanout_join", lambda s, d: G.resolve(*_sites(s, d))[0], f"with {_SITES} select s.caller, f.fkey as callee, s.line from s join f on lower(s.callee) = lower(f.name)")
 _add("graph_unresolved_anti", lambda s, d: G.resolve(*_sites(s, d))[1], f"with {_SITES} select callee, line from s where not exists (select 1 from f where lower(f.name) = lower(s.callee))")
 
@@ -95,51 +92,51 @@ def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).where("node <= 3").select("node")
 
 
-def _levels(depth: int, a: str, b: str, least: int) -> str:
-    return f"with recursive {_e(least)}, r(node, level) as (select p_partkey, 0 from part where p_partkey <= 3 union select e.{b}, r.level + 1 from r join e on e.{a} = r.node where r.level < {depth}) select node, cast(min(level) as int) as level from r group by node"
+def _levels(depth: int, a: str, b: str) -> str:
+    return f"with recursive {_E}, r(node, level) as (select p_partkey, 0 from part where p_partkey <= 3 union select e.{b}, r.level + 1 from r join e on e.{a} = r.node where r.level < {depth}) select node, cast(min(level) as int) as level from r group by node"
 
 
-_add("graph_bfs_focus", lambda s, d: G.distances(edges(s, d, 40), _starts(s, d), G.FOCUS_DEPTH)[0], _levels(2, "src", "dst", 40))
-_add("graph_downstream", lambda s, d: G.distances(edges(s, d, 45), _starts(s, d), 3)[0], _levels(3, "src", "dst", 45))
-_add("graph_impact_levels", lambda s, d: G.distances(edges(s, d, 49), _starts(s, d), G.IMPACT_DEPTH, reverse=True)[0], f"with recursive {_e(49)}, r(node, level) as (select p_partkey, 0 from part where p_partkey <= 3 union select e.src, r.level + 1 from r join e on e.dst = r.node where r.level < 30) select node, cast(min(level) as int) as level from r group by node")
+_add("graph_bfs_focus", lambda s, d: G.distances(edges(s, d), _starts(s, d), G.FOCUS_DEPTH)[0], _levels(2, "src", "dst"))
+_add("graph_downstream", lambda s, d: G.distances(edges(s, d), _starts(s, d), 3)[0], _levels(3, "src", "dst"))
+_add("graph_impact_levels", lambda s, d: G.distances(edges(s, d), _starts(s, d), G.IMPACT_DEPTH, reverse=True)[0], f"with recursive {_E}, r(node, level) as (select p_partkey, 0 from part where p_partkey <= 3 union select e.src, r.level + 1 from r join e on e.dst = r.node where r.level < 30) select node, cast(min(level) as int) as level from r group by node")
 
 
 def _closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen, status = G.closure(edges(spark, sf_dir, 49), _starts(spark, sf_dir))
+    seen, status = G.closure(edges(spark, sf_dir), _starts(spark, sf_dir))
     return seen.agg(F.count("*").alias("reached")).withColumn("status", F.lit(status))
 
 
-_add("graph_closure", _closure, f"with recursive {_e(49)}, r(node) as (select p_partkey from part where p_partkey <= 3 union select e.dst from r join e on e.src = r.node) select count(*) as reached, 'ok' as status from r")
+_add("graph_closure", _closure, f"with recursive {_E}, r(node) as (select p_partkey from part where p_partkey <= 3 union select e.dst from r join e on e.src = r.node) select count(*) as reached, 'ok' as status from r")
 _add(
     "graph_chains",
-    lambda s, d: G.chains(edges(s, d, 49), F.lit(1).cast("long"), 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("chain"), F.size("path").cast("long").alias("n")),
-    f"with recursive {_e(49)}, r(path) as (select [cast(1 as bigint)] union all select list_append(r.path, x.src) from r join (select distinct src, dst from e) x on x.dst = r.path[len(r.path)] where len(r.path) < 5 and not list_contains(r.path, x.src)) select array_to_string(path, '>') as chain, cast(len(path) as bigint) as n from r where len(path) > 1",
+    lambda s, d: G.chains(edges(s, d), F.lit(1).cast("long"), 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("chain"), F.size("path").cast("long").alias("n")),
+    f"with recursive {_E}, r(path) as (select [cast(1 as bigint)] union all select list_append(r.path, x.src) from r join (select distinct src, dst from e) x on x.dst = r.path[len(r.path)] where len(r.path) < 5 and not list_contains(r.path, x.src)) select array_to_string(path, '>') as chain, cast(len(path) as bigint) as n from r where len(path) > 1",
 )
 _SCC = "t as (select distinct src, dst from e), r(a, b) as (select src, dst from t union select r.a, t.dst from r join t on t.src = r.b), s as (select x.a as node, max(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by x.a), m as (select component from s group by component having count(*) > 1)"
-_add("graph_scc", lambda s, d: G.strong_components(edges(s, d, 49)), f"with recursive {_e(49)}, {_SCC} select node, component from s where component in (select component from m)")
-_add("graph_cycles", lambda s, d: G.cycles(G.strong_components(edges(s, d, 49))), f"with recursive {_e(49)}, {_SCC} select count(*) as size, min(node) as first_node from s where component in (select component from m) group by component order by size desc, first_node limit 20")
+_add("graph_scc", lambda s, d: G.strong_components(edges(s, d)), f"with recursive {_E}, {_SCC} select node, component from s where component in (select component from m)")
+_add("graph_cycles", lambda s, d: G.cycles(G.strong_components(edges(s, d))), f"with recursive {_E}, {_SCC} select count(*) as size, min(node) as first_node from s where component in (select component from m) group by component order by size desc, first_node limit 20")
 _add(
     "graph_components",
-    lambda s, d: G.components(edges(s, d, 50)).groupBy("component").agg(F.count("*").alias("n")),
-    f"with recursive {_e(50)}, t as (select src, dst from e union select dst, src from e), r(a, b) as (select src, src from t union select r.a, t.dst from r join t on t.src = r.b), c as (select a, min(b) as component from r group by a) select component, count(*) as n from c group by component",
+    lambda s, d: G.components(edges(s, d)).groupBy("component").agg(F.count("*").alias("n")),
+    f"with recursive {_E}, t as (select src, dst from e union select dst, src from e), r(a, b) as (select src, src from t union select r.a, t.dst from r join t on t.src = r.b), c as (select a, min(b) as component from r group by a) select component, count(*) as n from c group by component",
 )
-_add("graph_entries", lambda s, d: G.entries(edges(s, d, 30), nodes(s, d)), f"with {_e(30)} select p_partkey as node from part where p_partkey not in (select dst from e)")
+_add("graph_entries", lambda s, d: G.entries(edges(s, d), nodes(s, d)), f"with {_E} select p_partkey as node from part where p_partkey not in (select dst from e)")
 _add(
     "graph_hub",
     lambda s, d: G.hub(edges(s, d)),
-    f"""with {_e()}, {_D}, i as (select node, fan_in from d where fan_in > 0 order by fan_in desc, node limit 30), o as (select node, fan_out from d where fan_out > 0 order by fan_out desc, node limit 30),
+    f"""with {_E}, {_D}, i as (select node, fan_in from d where fan_in > 0 order by fan_in desc, node limit 30), o as (select node, fan_out from d where fan_out > 0 order by fan_out desc, node limit 30),
     b as (select coalesce(i.node, o.node) as node, coalesce(fan_in, 0) as fan_in, coalesce(fan_out, 0) as fan_out from i full join o on i.node = o.node)
     select node, fan_in, fan_out, 2 * fan_in + fan_out as score from b order by (fan_out > 0) desc, score desc, node limit 1""",
 )
 _add(
     "graph_heat",
     lambda s, d: nodes(s, d).join(G.degrees(edges(s, d)), "node", "left").select("node", "name", "rel", "cx", (F.col("cx") * (1 + F.coalesce("fan_in", F.lit(0)))).alias("score")).orderBy(F.desc("score"), F.desc("cx"), "rel", "name", "node").limit(G.TOP_N),
-    f"with {_e()}, {_D}, {_N} select n.node, name, rel, cx, cx * (1 + coalesce(fan_in, 0)) as score from n left join d on d.node = n.node order by score desc, cx desc, rel, name, n.node limit 30",
+    f"with {_E}, {_D}, {_N} select n.node, name, rel, cx, cx * (1 + coalesce(fan_in, 0)) as score from n left join d on d.node = n.node order by score desc, cx desc, rel, name, n.node limit 30",
 )
 
 
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir, 45).select("src", "dst").distinct()
+    e = edges(spark, sf_dir).select("src", "dst").distinct()
     two = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
     callers = e.unionByName(two).where("src <> dst").groupBy("dst").agg(F.countDistinct("src").alias("impact"))
     d = G.degrees(e)
@@ -150,7 +147,7 @@ def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(
     "graph_risk",
     _risk,
-    f"""with {_e(45)}, {_N}, t as (select distinct src, dst from e), u as (select src, dst from t union select a.src, b.dst from t a join t b on a.dst = b.src),
+    f"""with {_E}, {_N}, t as (select distinct src, dst from e), u as (select src, dst from t union select a.src, b.dst from t a join t b on a.dst = b.src),
     c as (select dst as node, count(distinct src) as impact from u where src <> dst group by dst), fi as (select dst as node, count(*) as k from t group by dst), fo as (select src as node, count(*) as k from t group by src),
     m as (select n.node, cx, coalesce(impact, 0) as impact, coalesce(fi.k, 0) as fan_in, coalesce(fo.k, 0) as fan_out from n left join c on c.node = n.node left join fi on fi.node = n.node left join fo on fo.node = n.node)
     select node, impact, 3 * impact + 2 * fan_in + fan_out + fan_out + cx as risk,
@@ -159,7 +156,7 @@ _add(
 _add(
     "folder_edges",
     lambda s, d: edges(s, d).join(nodes(s, d).select(F.col("node").alias("src"), F.col("dir").alias("src_dir")), "src").join(nodes(s, d).select(F.col("node").alias("dst"), F.col("dir").alias("dst_dir")), "dst").groupBy("src_dir", "dst_dir").agg(F.count("*").alias("n")),
-    f"with {_e()}, {_N} select a.dir as src_dir, b.dir as dst_dir, count(*) as n from e join n a on a.node = e.src join n b on b.node = e.dst group by 1, 2",
+    f"with {_E}, {_N} select a.dir as src_dir, b.dir as dst_dir, count(*) as n from e join n a on a.node = e.src join n b on b.node = e.dst group by 1, 2",
 )
 
 
@@ -175,7 +172,7 @@ def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(
     "folder_stats",
     _folders,
-    f"""with {_e()}, {_N}, x as (select a.dir as sd, b.dir as dd from e join n a on a.node = e.src join n b on b.node = e.dst),
+    f"""with {_E}, {_N}, x as (select a.dir as sd, b.dir as dd from e join n a on a.node = e.src join n b on b.node = e.dst),
     i as (select dir, count(distinct rel) as files, count(*) as functions, cast(sum(cx) as bigint) as complexity from n group by dir), o as (select sd as dir, count_if(sd = dd) as internal, count_if(sd <> dd) as outgoing from x group by sd), c as (select dd as dir, count(*) as incoming from x where sd <> dd group by dd)
     select i.dir, files, functions, complexity, cast(coalesce(internal, 0) as bigint) as internal, cast(coalesce(outgoing, 0) as bigint) as outgoing, coalesce(incoming, 0) as incoming from i left join o on o.dir = i.dir left join c on c.dir = i.dir""",
 )
@@ -184,69 +181,74 @@ _add(
     lambda s, d: G.rolled_up(nodes(s, d).select(F.concat_ws("/", "dir", "rel", (F.col("node") % 10).cast("string")).alias("path"), "cx"), "path", "cx"),
     f"with {_N}, p as (select dir || '/' || rel || '/' || cast(node % 10 as varchar) as path, cx from n), x as (select string_split(path, '/') as parts, cx from p), y as (select unnest([array_to_string(parts[1:k], '/') for k in range(1, len(parts) + 1)]) as prefix, cx from x) select prefix, count(*) as n, cast(sum(cx) as bigint) as cx from y group by prefix",
 )
-_add("graph_callers_of", lambda s, d: edges(s, d).where("dst <= 20").groupBy("dst").agg(F.countDistinct("src").alias("callers"), F.min("src").alias("first_caller")), f"with {_e()} select dst, count(distinct src) as callers, min(src) as first_caller from e where dst <= 20 group by dst")
+_add("graph_callers_of", lambda s, d: edges(s, d).where("dst <= 20").groupBy("dst").agg(F.countDistinct("src").alias("callers"), F.min("src").alias("first_caller")), f"with {_E} select dst, count(distinct src) as callers, min(src) as first_caller from e where dst <= 20 group by dst")
 _add(
     "graph_truncation",
     lambda s, d: G.with_total(G.degrees(edges(s, d)), G.top(G.degrees(edges(s, d)), "fan_in", 10, "node")).select("node", "fan_in", "total"),
-    f"with {_e()}, {_D} select node, fan_in, (select count(*) from d) as total from d order by fan_in desc, node limit 10",
+    f"with {_E}, {_D} select node, fan_in, (select count(*) from d) as total from d order by fan_in desc, node limit 10",
 )
 
 
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components within a folder, those of many files cut into pieces."""
     n = nodes(spark, sf_dir)
-    same = edges(spark, sf_dir, 45).join(n.select(F.col("node").alias("src"), F.col("dir").alias("sd")), "src").join(n.select(F.col("node").alias("dst"), F.col("dir").alias("dd")), "dst").where("sd = dd")
+    same = edges(spark, sf_dir).join(n.select(F.col("node").alias("src"), F.col("dir").alias("sd")), "src").join(n.select(F.col("node").alias("dst"), F.col("dir").alias("dd")), "dst").where("sd = dd")
     return G.chunked(G.components(same), "component", "node", 5).groupBy("component", "chunk").agg(F.count("*").alias("n"))
 
 
 _add(
     "module_suggestions",
     _modules,
-    f"""with recursive {_e(45)}, {_N}, s as (select src, dst from e join n a on a.node = e.src join n b on b.node = e.dst where a.dir = b.dir), t as (select src, dst from s union select dst, src from s),
+    f"""with recursive {_E}, {_N}, s as (select src, dst from e join n a on a.node = e.src join n b on b.node = e.dst where a.dir = b.dir), t as (select src, dst from s union select dst, src from s),
     r(a, b) as (select src, src from t union select r.a, t.dst from r join t on t.src = r.b), c as (select a as node, min(b) as component from r group by a),
     k as (select component, cast((row_number() over (partition by component order by node) - 1) // 5 as bigint) as chunk from c) select component, chunk, count(*) as n from k group by 1, 2""",
 )
 
 
 def _focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _, info = G.focus(edges(spark, sf_dir, 48), nodes(spark, sf_dir).select("node", "name"), "17", 2, 40)
+    kept, _, info = G.focus(edges(spark, sf_dir), nodes(spark, sf_dir).select("node", "name"), "17", 2, 40)
     return kept.select("node", F.col("level").cast("long").alias("level"), F.lit(info["nodes_total"]).alias("total"))
 
 
 _add(
     "graph_focus",
     _focus,
-    f"with recursive {_e(48)}, t as (select src, dst from e union select dst, src from e), r(node, level) as (select cast(17 as bigint), 0 union select t.dst, level + 1 from r join t on t.src = r.node where level < 2), m as (select node, min(level) as level from r group by node) select node, cast(level as bigint) as level, (select count(*) from m) as total from m order by level, node limit 40",
+    f"with recursive {_E}, t as (select src, dst from e union select dst, src from e), r(node, level) as (select cast(17 as bigint), 0 union select t.dst, level + 1 from r join t on t.src = r.node where level < 2), m as (select node, min(level) as level from r group by node) select node, cast(level as bigint) as level, (select count(*) from m) as total from m order by level, node limit 40",
 )
 _add(
     "call_relations",
-    lambda s, d: G.call_relations(edges(s, d, 20), nodes(s, d).select("node", "rel")),
-    f"""with {_e(20)}, {_D}, {_N}, k as (select case when a.rel = b.rel then 'internal' else 'cross' end as kind, count(*) as n from e join n a on a.node = e.src join n b on b.node = e.dst group by 1)
+    lambda s, d: G.call_relations(edges(s, d), nodes(s, d).select("node", "rel")),
+    f"""with {_E}, {_D}, {_N}, k as (select case when a.rel = b.rel then 'internal' else 'cross' end as kind, count(*) as n from e join n a on a.node = e.src join n b on b.node = e.dst group by 1)
     select 'total' as section, 'nodes' as key, count(*) as n from d union all select 'total', 'edges', cast(sum(fan_out) as bigint) from d
     union all select 'class', v.kind, coalesce(k.n, 0) from (values ('internal'), ('cross'), ('ambiguous'), ('unknown')) v(kind) left join k on k.kind = v.kind
     union all (select 'fan_in', cast(node as varchar), fan_in from d where fan_in > 0 order by fan_in desc, node limit 30) union all (select 'fan_out', cast(node as varchar), fan_out from d where fan_out > 0 order by fan_out desc, node limit 30)""",
 )
 
 
+#: A call is sure from this quantity on; all others are possible.
+SURE = 50
+
+
 def _sandwich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = edges(spark, sf_dir, 49).join(named(spark, sf_dir).select(F.col("node").alias("dst"), "name"), "dst")
+    calls = edges(spark, sf_dir).join(named(spark, sf_dir).select(F.col("node").alias("dst"), "name"), "dst")
     refs = calls.select("name", F.col("src").alias("root")).distinct()
-    return G.sandwich(refs, named(spark, sf_dir).select("name", "node"), edges(spark, sf_dir, 50), edges(spark, sf_dir, 49).where("line <= 4").unionByName(edges(spark, sf_dir, 50))).groupBy("status").agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
+    every = edges(spark, sf_dir)
+    return G.sandwich(refs, named(spark, sf_dir).select("name", "node"), every.where(f"quantity >= {SURE}"), every).groupBy("status").agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
 
 
 _add(
     "graph_sandwich",
     _sandwich,
-    f"""with recursive {_NAMED}, e as (select src, dst, line, q from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as dst, cast(l_linenumber as bigint) as line, l_quantity as q from lineitem) where dst is not null and q >= 49),
+    f"""with recursive {_E}, {_NAMED},
     refs as (select distinct m.name, e.src as root from e join m on m.node = e.dst),
-    a(root, node) as (select root, root from refs union select a.root, e.dst from a join e on e.src = a.node where e.q >= 50),
-    b(root, node) as (select root, root from refs union select b.root, e.dst from b join e on e.src = b.node where e.line <= 4 or e.q >= 50),
+    a(root, node) as (select root, root from refs union select a.root, e.dst from a join e on e.src = a.node where e.quantity >= {SURE}),
+    b(root, node) as (select root, root from refs union select b.root, e.dst from b join e on e.src = b.node),
     ha as (select root, name, count(*) as n, min(a.node) as one from a join m on m.node = a.node group by 1, 2), hb as (select root, name, count(*) as n, min(b.node) as one from b join m on m.node = b.node group by 1, 2),
     s as (select case when ha.n = 1 and hb.n = 1 and ha.one = hb.one then 'resolved' when hb.n is null then 'unreachable' else 'undecided' end as status, case when ha.n = 1 and hb.n = 1 and ha.one = hb.one then ha.one end as target from refs r left join ha on ha.root = r.root and ha.name = r.name left join hb on hb.root = r.root and hb.name = r.name)
     select status, count(*) as n, cast(sum(target) as bigint) as targets from s group by status""",
 )
 _add(
     "graph_changed_impact",
-    lambda s, d: G.changed_impact(edges(s, d, 50), nodes(s, d).select("node", "rel"), nodes(s, d).where("rel in ('Brand#11', 'Brand#23')").select("rel"))[0],
-    f"with recursive {_e(50)}, r(root, node) as (select p_partkey, p_partkey from part where p_brand in ('Brand#11', 'Brand#23') union select r.root, e.src from r join e on e.dst = r.node), m as (select node, count(distinct root) as affected from r group by node) select node, affected from m where node not in (select dst from e)",
+    lambda s, d: G.changed_impact(edges(s, d), nodes(s, d).select("node", "rel"), nodes(s, d).where("rel in ('Brand#11', 'Brand#23')").select("rel"))[0],
+    f"with recursive {_E}, r(root, node) as (select p_partkey, p_partkey from part where p_brand in ('Brand#11', 'Brand#23') union select r.root, e.src from r join e on e.dst = r.node), m as (select node, count(distinct root) as affected from r group by node) select node, affected from m where node not in (select dst from e)",
 )

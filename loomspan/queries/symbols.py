@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.operators import symbols as S
 
 from . import Query, table
-from .graphs import _D, _e, edges
+from .graphs import _D, _E, edges
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -39,12 +39,12 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir, 40)
+    e = edges(spark, sf_dir)
     kind = F.when(F.col("dst") % 7 == 0, "external").when(F.col("dst") % 5 == 0, "builtin").when(F.col("dst") % 11 == 0, "dynamic").otherwise("call")
     return e.select(F.col("src").alias("src_symbol_id"), F.when(kind == "external", None).otherwise(F.col("dst")).alias("dst_symbol_id"), F.concat(F.lit("fn"), F.col("dst") % 50).alias("name"), kind.alias("kind"))
 
 
-_SE = f"{_e(40)}, x as (select src as src_symbol_id, case when dst % 7 <> 0 then dst end as dst_symbol_id, 'fn' || (dst % 50) as name, case when dst % 7 = 0 then 'external' when dst % 5 = 0 then 'builtin' when dst % 11 = 0 then 'dynamic' else 'call' end as kind from e)"
+_SE = f"{_E}, x as (select src as src_symbol_id, case when dst % 7 <> 0 then dst end as dst_symbol_id, 'fn' || (dst % 50) as name, case when dst % 7 = 0 then 'external' when dst % 5 = 0 then 'builtin' when dst % 11 = 0 then 'dynamic' else 'call' end as kind from e)"
 _add("sym_query", lambda s, d: S.query_symbols(symbols(s, d), files(s, d), "RE", "function", 50), f"with {_B} select symbol_id, name, kind, path, line from s join f on f.file_id = s.file_id where kind = 'function' and (contains(lower(name), 're') or contains(lower(dotted_name), 're')) order by path, line, symbol_id limit 50")
 _add("sym_row", lambda s, d: S.symbol_row(symbols(s, d), files(s, d), "a"), f"with {_B} select symbol_id, name, path, line from s join f on f.file_id = s.file_id where contains(lower(name), 'a') order by case when name = 'a' then 0 else 1 end, path, line, symbol_id limit 1")
 _add(
@@ -75,12 +75,12 @@ _add("sync_plan", lambda s, d: S.plan_sync(*_prints(s, d)).groupBy("action").agg
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.operators.graph import degrees
 
-    d = degrees(edges(spark, sf_dir, 45))
+    d = degrees(edges(spark, sf_dir))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 12).cast("long").alias("complexity"), (F.col("p_partkey") % 5).alias("unresolved"))
     return p.join(d, "node", "left").fillna(0, ["fan_in", "fan_out"]).select("node", "complexity", "unresolved", F.col("fan_in").alias("callers"), F.col("fan_out").alias("callees"))
 
 
-_MET = f"{_e(45)}, {_D}, m as (select p_partkey as node, cast(p_size % 12 as bigint) as complexity, p_partkey % 5 as unresolved, coalesce(fan_in, 0) as callers, coalesce(fan_out, 0) as callees from part left join d on d.node = p_partkey)"
+_MET = f"{_E}, {_D}, m as (select p_partkey as node, cast(p_size % 12 as bigint) as complexity, p_partkey % 5 as unresolved, coalesce(fan_in, 0) as callers, coalesce(fan_out, 0) as callees from part left join d on d.node = p_partkey)"
 _add(
     "sym_role_risk",
     lambda s, d: S.role_and_risk(_metrics(s, d)).select("node", "role", "risk"),

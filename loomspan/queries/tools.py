@@ -9,7 +9,7 @@ from loomspan.operators import census as C
 from loomspan.operators import graph as G
 
 from . import Query, table
-from .graphs import _e, edges
+from .graphs import _E, edges
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -59,15 +59,15 @@ _add("hop_census", lambda s, d: table(s, d, "part").groupBy(F.substring_index("p
 
 
 def _graph_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir, 30).withColumn("kind", F.lit("call"))
-    sites = table(spark, sf_dir, "lineitem").where("l_quantity >= 30").groupBy(F.lit("edge").alias("outcome")).agg(F.count("*").alias("n"))
+    e = edges(spark, sf_dir).withColumn("kind", F.lit("call"))
+    sites = table(spark, sf_dir, "lineitem").groupBy(F.lit("edge").alias("outcome")).agg(F.count("*").alias("n"))
     return C.conservation(e, sites, table(spark, sf_dir, "part").select((F.col("p_partkey") - F.col("p_partkey") % 2).alias("node")), ("edge",))
 
 
 _add(
     "graph_conservation",
     _graph_checks,
-    f"""with {_e(30)}, n as (select p_partkey - p_partkey % 2 as node from part), r as (select 'edges are produced sites' as rule, (select count(*) from lineitem where l_quantity >= 30) as expected, (select count(*) from e) as found
+    f"""with {_E}, n as (select p_partkey - p_partkey % 2 as node from part), r as (select 'edges are produced sites' as rule, (select count(*) from lineitem) as expected, (select count(*) from e) as found
     union all select 'edges end at nodes', 0, (select count(*) from (select src as x from e union all select dst from e) where x not in (select node from n))
     union all select 'nodes are unique', 0, (select count(*) from (select node from n group by node having count(*) > 1))) select rule, expected, found, expected = found as ok from r""",
 )
@@ -94,17 +94,19 @@ _add("mem_sections", _sections, f"with {_ARR}, s as (select func, n * 8 as bytes
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("bytes"))
-    calls = edges(spark, sf_dir, 50).select("src", "dst")
-    return C.call_chain_bytes(own, calls)
+    """An order calls those of three times its key; every fiftieth calls back, so that it and what leads there is on a cycle."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 3).alias("up"), F.col("o_custkey").alias("bytes"))
+    calls = o.select(F.col("up").alias("src"), F.col("o_orderkey").alias("dst")).unionByName(o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("src"), F.col("up").alias("dst")))
+    return C.call_chain_bytes(o.select(F.col("o_orderkey").alias("node"), "bytes"), calls)
 
 
 _add(
     "mem_callchain",
     _chain,
-    f"""with recursive {_e(50)}, r(a, b, d) as (select src, dst, 1 from e union select r.a, e.dst, d + 1 from r join e on e.src = r.b where d < 40), c as (select distinct a from r where a = b), bad as (select a from c union select r.a from r join c on r.b = c.a),
-    w(root, node) as (select p_partkey, p_partkey from part where p_partkey not in (select a from bad) union all select w.root, e.dst from w join e on e.src = w.node)
-    select root as node, cast(sum(p_size) as bigint) as total from w join part on p_partkey = node group by root union all select a, null from bad""",
+    """with recursive o as (select o_orderkey as node, o_orderkey // 3 as up, o_custkey as bytes from orders), e as (select up as src, node as dst from o where up in (select node from o) union all select node, up from o where node % 50 = 0 and up in (select node from o)),
+    r(a, b) as (select src, dst from e union select r.a, e.dst from r join e on e.src = r.b), c as (select distinct a from r where a = b), bad as (select a from c union select r.a from r join c on r.b = c.a),
+    w(root, node) as (select node, node from o where node not in (select a from bad) union all select w.root, e.dst from w join e on e.src = w.node)
+    select root as node, cast(sum(o.bytes) as bigint) as total from w join o on o.node = w.node group by root union all select a, null from bad""",
 )
 _add(
     "scenario_coverage",
@@ -129,5 +131,5 @@ _add(
 _add("structure_measures", lambda s, d: _doc(s, d).groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.size(F.split("text", "\n")) > 20).alias("long_docs"), F.max(F.size(F.split("text", "\n"))).cast("long").alias("most_lines")), "select lang, count(*) as docs, cast(count_if(len(string_split(text, chr(10))) > 20) as bigint) as long_docs, max(len(string_split(text, chr(10)))) as most_lines from documents group by lang")
 _add("isa_plan", lambda s, d: _arrays(s, d).select("func", F.array_join(F.filter(F.array(F.when(F.col("shape").isNull(), "unknown"), F.when(F.element_at("shape", 1) < 8, "short"), F.when(F.element_at("shape", 1) % 4 != 0, "multiple")), lambda r: r.isNotNull()), ",").alias("why")).groupBy("why").agg(F.count("*").alias("n")), "with a as (select concat_ws(',', case when l_linenumber = 3 then 'unknown' end, case when l_linenumber <> 3 and l_quantity < 8 then 'short' end, case when l_linenumber <> 3 and cast(l_quantity as bigint) % 4 <> 0 then 'multiple' end) as why from lineitem) select why, count(*) as n from a group by why")
 _add("task_kpi", lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("cases"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 6).alias("pass_rate")), "select o_orderpriority, count(*) as cases, round(avg(cast(o_orderstatus = 'F' as int)), 6) as pass_rate from orders group by 1")
-_add("taint_levels", lambda s, d: G.distances(edges(s, d, 45), table(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node")), 5, reverse=True)[0], f"with recursive {_e(45)}, r(node, level) as (select p_partkey, 0 from part where p_size = 1 union select e.src, level + 1 from r join e on e.dst = r.node where level < 5) select node, cast(min(level) as int) as level from r group by node")
+_add("taint_levels", lambda s, d: G.distances(edges(s, d), table(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node")), 5, reverse=True)[0], f"with recursive {_E}, r(node, level) as (select p_partkey, 0 from part where p_size = 1 union select e.src, level + 1 from r join e on e.dst = r.node where level < 5) select node, cast(min(level) as int) as level from r group by node")
 _add("clone_roi", lambda s, d: table(s, d, "part").groupBy("p_name").agg(F.count("*").alias("k"), F.min("p_size").cast("long").alias("lines"), F.max(F.col("p_size") % 5 + 1).cast("long").alias("cx")).where("k > 1").select("p_name", F.round(F.col("lines") * (F.col("k") - 1) / F.col("cx") * F.when(F.col("cx") == 1, 0.75).otherwise(1.0), 6).alias("roi")), "with g as (select p_name, count(*) as k, cast(min(p_size) as bigint) as lines, cast(max(p_size % 5 + 1) as bigint) as cx from part group by 1 having count(*) > 1) select p_name, round(lines * (k - 1) / cx * case when cx = 1 then 0.75 else 1.0 end, 6) as roi from g")

@@ -142,6 +142,28 @@ def test_closure_cap_is_undecided(spark):
     assert graph.strong_components(edge_table(spark, [(0, 1)])).count() == 0
 
 
+def test_reaching(spark):
+    rnd = random.Random(9)
+    pairs = [(rnd.randint(0, 39), rnd.randint(0, 39)) for _ in range(55)] + [(50, 50), (0, 0)]
+    out: dict = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    asked = [(a, b, "x") for a in range(0, 52, 3) for b in range(52)] + [(1, 2, "y"), (1, 2, "y")]
+    got = graph.reaching(edge_table(spark, pairs), spark.createDataFrame(asked, "root long, node long, name string"))
+    assert got.columns == ["root", "node", "name"]
+    assert sorted(map(tuple, got.collect())) == sorted(p for p in asked if p[1] in reach(p[0]))
+
+
 def test_ladder_never_guesses(spark):
     defs = spark.createDataFrame([("f", "a"), ("g", "a"), ("g", "b"), ("h", "a"), ("h", "a")], "name string, rel string")
     refs = spark.createDataFrame([("f", "z"), ("g", "a"), ("g", "z"), ("h", "a"), ("x", "a")], "name string, rel string")
