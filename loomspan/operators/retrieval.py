@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,13 +105,55 @@ def jaccard_pairs(sets: DataFrame, least: float, key: str = "doc_id", item: str
     return both.where(j >= least).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
+def line_grams(lines: DataFrame, n: int) -> DataFrame:
+    """doc_id, pos and two hashes k1, k2 of each n lines (doc_id, pos, line) at positions that follow one another."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    gram = F.collect_list("line").over(w.rowsBetween(0, n - 1))
+    last = F.last("pos").over(w.rowsBetween(0, n - 1))
+    grams = lines.select("doc_id", "pos", gram.alias("gram"), last.alias("last")).where((F.size("gram") == n) & (F.col("last") - F.col("pos") == n - 1))
+    return grams.select("doc_id", "pos", F.xxhash64("gram").alias("k1"), F.xxhash64(F.lit(1), "gram").alias("k2"))
+
+
+def _meetings(lines: DataFrame, n: int) -> DataFrame:
+    """a, b (a < b), pa, pb where two documents have n equal lines from there on: frequent single lines make no pairs."""
+    g = line_grams(lines, n)
+    a, b = (g.select(F.col("doc_id").alias(d), F.col("pos").alias(f"p{d}"), "k1", "k2") for d in ("a", "b"))
+    return a.join(b, ["k1", "k2"]).where("a < b").select("a", "b", "pa", "pb", (F.col("pa") - F.col("pb")).alias("diagonal"))
+
+
+def _islands(same: DataFrame) -> DataFrame:
+    """Runs of consecutive pa on a diagonal: a, b, diagonal, start_a, n."""
+    rank = F.row_number().over(Window.partitionBy("a", "b", "diagonal").orderBy("pa"))
+    return same.withColumn("island", F.col("pa") - rank).groupBy("a", "b", "diagonal", "island").agg(F.min("pa").alias("start_a"), F.count("*").alias("n")).drop("island")
+
+
 def line_runs(lines: DataFrame, least: int) -> DataFrame:
     """Runs of at least so many equal consecutive lines of two documents: lines (doc_id, pos, line) -> a, b, start_a, start_b, n."""
-    a, b = lines.select(F.col("doc_id").alias("a"), F.col("pos").alias("pa"), "line"), lines.select(F.col("doc_id").alias("b"), F.col("pos").alias("pb"), "line")
-    same = a.join(b, "line").where("a < b").withColumn("diagonal", F.col("pa") - F.col("pb"))
-    rank = F.row_number().over(Window.partitionBy("a", "b", "diagonal").orderBy("pa"))
-    island = same.withColumn("island", F.col("pa") - rank)
-    return island.groupBy("a", "b", "diagonal", "island").agg(F.min("pa").alias("start_a"), F.min("pb").alias("start_b"), F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b", "start_a", "start_b", "n")
+    found = _islands(_meetings(lines, least))
+    return found.select("a", "b", "start_a", (F.col("start_a") - F.col("diagonal")).alias("start_b"), (F.col("n") + least - 1).alias("n"))
+
+
+def similar_runs(lines: DataFrame, least: int = 4, share: float = 0.92) -> DataFrame:
+    """For each two documents the longest block of `least` lines or more, begun and ended by equal lines, of which that share is
+    equal line by line; then that of the most equal lines, and the first: a, b, start_a, start_b, n, same.
+
+    Lines (doc_id, pos, line) have positions without holes. Of a block with x unequal lines, x / (1 - share) or more in all, some
+    run of equal lines has at least as many as where x is 1, so runs of that many or of `least` show each diagonal that counts.
+    """
+    seed = least if share >= 1 else max(1, min(least, math.ceil((math.ceil(1 / (1 - share)) - 1) / 2)))
+    near = _meetings(lines, seed).select("a", "b", "diagonal").distinct()
+    own = lines.select(F.col("doc_id").alias("a"), F.col("pos").alias("pa"), F.col("line").alias("la"))
+    other = lines.select(F.col("doc_id").alias("b"), F.col("pos").alias("pb"), F.col("line").alias("lb"))
+    same = near.join(own, "a").withColumn("pb", F.col("pa") - F.col("diagonal")).join(other, ["b", "pb"]).where("la = lb").select("a", "b", "diagonal", "pa")
+    w = Window.partitionBy("a", "b", "diagonal").orderBy("start_a")
+    runs = _islands(same).withColumn("upto", F.sum("n").over(w))
+    first = runs.select("a", "b", "diagonal", "start_a", (F.col("upto") - F.col("n")).alias("before"))
+    last = runs.select("a", "b", "diagonal", (F.col("start_a") + F.col("n")).alias("end_a"), "upto")
+    block = first.join(last, ["a", "b", "diagonal"]).select("a", "b", "diagonal", "start_a", (F.col("end_a") - F.col("start_a")).alias("n"), (F.col("upto") - F.col("before")).alias("same"))
+    block = block.where((F.col("n") >= least) & (F.col("same") >= share * F.col("n") - 1e-9))
+    best = block.groupBy("a", "b").agg(F.max(F.struct("n", "same", (-F.col("start_a")).alias("from_a"), "diagonal")).alias("x"))
+    start = -F.col("x.from_a")
+    return best.select("a", "b", start.alias("start_a"), (start - F.col("x.diagonal")).alias("start_b"), F.col("x.n").alias("n"), F.col("x.same").alias("same"))
 
 
 def search_lines(docs: DataFrame, pattern: str, regex: bool = False, ignore_case: bool = True) -> DataFrame:

@@ -156,3 +156,24 @@ _add(
     s as (select a.doc_id as a, b.doc_id as b, a.pos as pa, b.pos as pb, a.pos - b.pos as g from k a join k b on a.line = b.line and a.doc_id < b.doc_id), i as (select *, pa - row_number() over (partition by a, b, g order by pa) as island from s)
     select a, b, min(pa) as start_a, min(pb) as start_b, count(*) as n from i group by a, b, g, island having count(*) >= 4""",
 )
+
+
+def _best_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of similar lines of documents that aren't alike as a whole; short lines are left out before lines are numbered."""
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    lines = _line_rows(spark, sf_dir).select("doc_id", (at - 1).cast("long").alias("pos"), "line")
+    whole = R.jaccard_pairs(_sets(spark, sf_dir), 0.8)
+    return R.similar_runs(lines, 4, 0.92).join(whole, ["a", "b"], "left_anti")
+
+
+_add(
+    "clone_fragment_similar",
+    _best_blocks,
+    f"""with {_LINES}, p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.token = b.token and a.doc_id < b.doc_id group by 1, 2), alike as (select p.a, p.b from p join z x on x.doc_id = p.a join z y on y.doc_id = p.b where k / (x.n + y.n - k) >= 0.8),
+    u as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as place from documents), k as (select doc_id, line, row_number() over (partition by doc_id order by place) - 1 as pos from u where length(line) > 3),
+    q as (select a.doc_id as a, b.doc_id as b, a.pos as pa, a.pos - b.pos as g from k a join k b on a.line = b.line and a.doc_id < b.doc_id), i as (select *, pa - row_number() over (partition by a, b, g order by pa) as island from q),
+    r as (select a, b, g, min(pa) as start_a, count(*) as n from i group by a, b, g, island), c as (select *, cast(sum(n) over (partition by a, b, g order by start_a) as bigint) as upto from r),
+    w as (select x.a, x.b, x.g, x.start_a, y.start_a + y.n - x.start_a as n, y.upto - x.upto + x.n as same from c x join c y on x.a = y.a and x.b = y.b and x.g = y.g and y.start_a >= x.start_a),
+    best as (select *, row_number() over (partition by a, b order by n desc, same desc, start_a, g desc) as rank from w where n >= 4 and same >= 0.92 * n - 1e-9)
+    select a, b, start_a, start_a - g as start_b, n, same from best where rank = 1 and not exists (select 1 from alike where alike.a = best.a and alike.b = best.b)""",
+)

@@ -164,6 +164,44 @@ def test_reaching(spark):
     assert sorted(map(tuple, got.collect())) == sorted(p for p in asked if p[1] in reach(p[0]))
 
 
+def test_runs_of_lines(spark):
+    rnd = random.Random(4)
+    base = [f"line {rnd.randint(0, 60)}" for _ in range(60)]
+    docs = {0: base, 1: base[:], 2: base[10:50], 3: ["same"] * 9, 4: ["same"] * 5, 5: [], 6: base[:3]}
+    docs[1][20] = docs[1][40] = "changed"
+    docs[7] = base[:18] + ["x", "y"] + base[20:34] + ["z"] + base[35:]
+    rows = [(d, p, x) for d, own in docs.items() for p, x in enumerate(own)]
+    lines = spark.createDataFrame(rows, "doc_id long, pos long, line string")
+
+    def blocks(a, b, least, share):
+        for i in range(len(docs[a])):
+            for j in range(len(docs[b])):
+                eq = [x == y for x, y in zip(docs[a][i:], docs[b][j:], strict=False)]
+                for n in range(least, len(eq) + 1):
+                    if eq[0] and eq[n - 1] and sum(eq[:n]) >= share * n - 1e-9:
+                        yield (n, sum(eq[:n]), -i, i - j)
+
+    for share in (0.92, 0.75, 1.0):
+        got = {(r["a"], r["b"]): (r["start_a"], r["start_b"], r["n"], r["same"]) for r in retrieval.similar_runs(lines, 4, share).collect()}
+        want = {}
+        for a in docs:
+            for b in range(a + 1, len(docs)):
+                if top := max(blocks(a, b, 4, share), default=None):
+                    want[a, b] = (-top[2], -top[2] - top[3], top[0], top[1])
+        assert got == want
+    exact = sorted(tuple(r) for r in retrieval.line_runs(lines, 4).collect())
+    want = []
+    for a in docs:
+        for b in range(a + 1, len(docs)):
+            for i, x in enumerate(docs[a]):
+                for j, y in enumerate(docs[b]):
+                    if x == y and not (i and j and docs[a][i - 1] == docs[b][j - 1]):
+                        n = next((k for k, (p, q) in enumerate(zip(docs[a][i:], docs[b][j:], strict=False)) if p != q), min(len(docs[a]) - i, len(docs[b]) - j))
+                        want += [(a, b, i, j, n)] if n >= 4 else []
+    assert exact == sorted(want)
+    assert retrieval.similar_runs(lines.limit(0)).collect() == []
+
+
 def test_ladder_never_guesses(spark):
     defs = spark.createDataFrame([("f", "a"), ("g", "a"), ("g", "b"), ("h", "a"), ("h", "a")], "name string, rel string")
     refs = spark.createDataFrame([("f", "z"), ("g", "a"), ("g", "z"), ("h", "a"), ("x", "a")], "name string, rel string")
