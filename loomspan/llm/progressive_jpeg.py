@@ -2,7 +2,7 @@
 
 Decoding runs the scans one after another into coefficient arrays: spectral bands and successive-approximation bits add up
 there; then all blocks are transformed back together in numpy, chroma is upsampled, and the tensor is stored as height,
-width and RGB bytes. All arithmetic after the entropy decoder is on integers (held exactly in doubles for the matrix
+width and RGB bytes (store_tensors; media_round_trip digests tensors and keeps the media alone). All arithmetic after the entropy decoder is on integers (held exactly in doubles for the matrix
 product), so equal media give equal tensors on any machine. Scans whose code words all have one width, and refinement
 scans made of end-of-band runs, are read column-wise; any other scan by a symbol loop.
 
@@ -473,6 +473,14 @@ def decode_media(df: DataFrame, column: str = "media", keep: tuple[str, ...] = (
     return chosen.mapInArrow(run, schema)
 
 
+def store_tensors(df: DataFrame, column: str = "media", keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """The table of decode_media's rows, written and read back: full-resolution RGB tensors, six bytes for four samples of 4:2:0."""
+    tensors = decode_media(df, column, keep)
+    path = path or scratch(df.sparkSession, "tensors")
+    tensors.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(tensors.schema).parquet(path)
+
+
 def features(stored: DataFrame) -> DataFrame:
     """Per stored text: what its payload and its image are, from the stored bytes."""
     ship(stored.sparkSession)

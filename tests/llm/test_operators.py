@@ -85,6 +85,17 @@ def test_other_encoders_images_decode(spark):
     assert [r[1].split(":")[0] for r in sorted(rows)] == ["ok", "null", "error"] and len(rows[0][5]) == 50 * 37 * 3
 
 
+def test_stored_tensors_are_what_features_digest(spark):
+    rows = [(1, "some text", "a"), (2, None, "b"), (3, "ü" * 5000, "a"), (1, "some text", None)]
+    media = progressive_jpeg.store_texts(make(spark, rows))
+    back = progressive_jpeg.store_tensors(media.unionByName(spark.createDataFrame([(4, 0, None), (5, 0, bytearray(b"no"))], media.schema)), keep=("doc_id",))
+    got = sorted(f"{r['height']}x{r['width']}x3 {zlib.crc32(r['tensor']):08x}" for r in back.where("status = 'ok'").collect())
+    assert all(len(r["tensor"]) == r["height"] * r["width"] * 3 for r in back.where("status = 'ok'").collect())
+    assert got == sorted(" ".join(r["feature"].split(" ")[::2]) for r in progressive_jpeg.features(media).collect())
+    assert {r["doc_id"]: r["status"][:5] for r in back.where("status <> 'ok'").collect()} == {4: "null", 5: "error"}
+    assert progressive_jpeg.store_tensors(media.limit(0)).collect() == []
+
+
 # 2
 
 
