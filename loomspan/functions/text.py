@@ -67,3 +67,30 @@ def intent(question: Column) -> Column:
         .when(q.rlike(r"explain|what is|how does"), "explain")
         .otherwise("retrieve")
     )
+
+
+def demangled(name: Column) -> Column:
+    """The readable part of an Itanium mangled name: its length-prefixed parts joined by "::", and "<...>" for template arguments.
+
+    A nested name ends at its E. What can't be read is "", as is any other name; the caller keeps the name that it has.
+    """
+    digits = lambda rest: F.regexp_extract(rest, r"^[0-9]+", 0)
+    nested = F.startswith(name, F.lit("_ZN"))
+    rest = F.substring(name, F.when(nested, 4).otherwise(3), F.length(name))
+    start = F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, _: Column) -> Column:
+        d = digits(state["rest"])
+        n = d.try_cast("int")
+        fits = (n > 0) & (F.length(state["rest"]) >= F.length(d) + n)
+        part = F.substring(state["rest"], F.length(d) + 1, n)
+        after = F.substring(state["rest"], F.length(d) + n + 1, F.length(state["rest"]))
+        return F.when(fits, F.struct(after.alias("rest"), F.array_append(state["parts"], part).alias("parts"))).otherwise(state)
+
+    def end(state: Column) -> Column:
+        left = F.when(nested & F.startswith(state["rest"], F.lit("E")), F.substring(state["rest"], 2, F.length(state["rest"]))).otherwise(state["rest"])
+        tail = F.when(F.startswith(left, F.lit("I")), "<...>").otherwise("")
+        return F.when(F.size(state["parts"]) > 0, F.concat(F.array_join(state["parts"], "::"), tail)).otherwise("")
+
+    read = F.aggregate(F.regexp_extract_all(rest, F.lit("[0-9]+"), F.lit(0)), start, step, end)
+    return F.when(F.startswith(name, F.lit("_Z")), F.coalesce(read, F.lit(""))).otherwise("")

@@ -106,3 +106,23 @@ def state_runs(lines: DataFrame, group: str, order: str, text: str, off: str, on
     state = F.when(F.col(text).rlike(off), F.lit(1)).when(F.col(text).rlike(on), F.lit(0))
     last = F.last(state, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return lines.withColumn("suppressed", F.coalesce(last == 1, F.lit(False)))
+
+
+def undo_conflicts(edits: DataFrame, current: DataFrame) -> DataFrame:
+    """What keeps edits (task, path, before, after: hashes) from being undone from the newest to the oldest: task, path, status.
+
+    The newest edit of a path must have left what current (path, sha) has, each other one what the next newer began with.
+    "gone": no such file; "changed": another content; "damaged": no old content to go back to.
+    """
+    newer = Window.partitionBy("path").orderBy(F.desc("task"))
+    marked = edits.join(current.select("path", "sha"), "path", "left").withColumns({"__n": F.row_number().over(newer), "__left": F.lag("before").over(newer)})
+    found = F.when(F.col("__n") == 1, F.col("sha")).otherwise(F.col("__left"))
+    status = F.when(F.col("sha").isNull(), "gone").when(~found.eqNullSafe(F.col("after")), "changed").when(F.col("before").isNull(), "damaged")
+    return marked.select("task", "path", status.alias("status")).where("status is not null")
+
+
+def missing_keys(df: DataFrame, key: str, column: str, required: list[str]) -> DataFrame:
+    """key and field for each required key that a JSON object lacks; a text that is no object lacks them all."""
+    have = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
+    lacking = F.array_except(F.array(*map(F.lit, required)), have)
+    return df.select(key, F.explode(lacking).alias("field"))

@@ -92,6 +92,18 @@ def entries(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
+def trace_status(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and status: "entry" (nothing else calls it), "traced" (some entry reaches it), "orphaned" (callers, but none that an
+    entry reaches: a cycle and what hangs on it)."""
+    real = edges.where("src <> dst").select("src", "dst").distinct()
+    known = nodes.select("node").distinct()
+    tops = entries(real, known)
+    reached, _ = distances(real, tops, 1 << 20)
+    level = reached.select("node", "level")
+    status = F.when(F.col("level") == 0, "entry").when(F.col("level") > 0, "traced").otherwise("orphaned")
+    return known.join(level, "node", "left").select("node", status.alias("status"))
+
+
 def chains(edges: DataFrame, start: Column, length: int, reverse: bool = True) -> DataFrame:
     """Paths without repeats from one start against the edges' direction, of 2 to `length` nodes."""
     a, b = ("dst", "src") if reverse else ("src", "dst")

@@ -123,3 +123,28 @@ _add(
     select conv_id, turn, coalesce(last_value(st ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) = 1, false) as suppressed from s""",
 )
 _add("snapshot_delta", lambda s, d: table(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).select(F.col("day").cast("string").alias("day"), "n", (F.col("n") - F.lag("n").over(Window.orderBy("day"))).alias("delta")), "with d as (select cast(ts as date) as day, count(*) as n from events group by 1) select cast(day as varchar) as day, n, n - lag(n) over (order by day) as delta from d")
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders are edits of their customer's file, each after the one before; some are not."""
+    o = table(spark, sf_dir, "orders")
+    older = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    before = F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit("h"), F.when(F.col("o_orderkey") % 7 == 0, -1).otherwise(F.coalesce(older, F.lit(0)))))
+    edits = o.select(F.col("o_orderkey").alias("task"), F.col("o_custkey").alias("path"), before.alias("before"), F.concat(F.lit("h"), "o_orderkey").alias("after"))
+    current = o.groupBy(F.col("o_custkey").alias("path")).agg(F.concat(F.lit("h"), F.max("o_orderkey")).alias("sha"))
+    return edits, current.select("path", F.when(F.col("path") % 3 == 0, "other").when(F.col("path") % 5 != 0, F.col("sha")).alias("sha"))
+
+
+_add(
+    "undo_conflicts",
+    lambda s, d: A.undo_conflicts(*_edits(s, d)),
+    """with e as (select o_orderkey as task, o_custkey as path, case when o_orderkey % 11 <> 0 then 'h' || case when o_orderkey % 7 = 0 then -1 else coalesce(lag(o_orderkey) over (partition by o_custkey order by o_orderkey), 0) end end as before, 'h' || o_orderkey as after from orders),
+    c as (select path, case when path % 3 = 0 then 'other' when path % 5 <> 0 then max(after) filter (task = m) end as sha from (select *, max(task) over (partition by path) as m from e) group by path),
+    x as (select e.*, sha, lead(before) over (partition by e.path order by task) as newer, max(task) over (partition by e.path) = task as last from e join c on c.path = e.path),
+    s as (select task, path, case when sha is null then 'gone' when (case when last then sha else newer end) is distinct from after then 'changed' when before is null then 'damaged' end as status from x) select * from s where status is not null""",
+)
+_add(
+    "missing_keys",
+    lambda s, d: A.missing_keys(table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit('{"a": 1}')).when(F.col("event_id") % 7 == 0, "no object").otherwise(F.col("props")).alias("props")), "event_id", "props", ["a", "k"]),
+    "select event_id, 'a' as field from events where event_id % 3 <> 0 union all select event_id, 'k' from events where event_id % 3 = 0 or event_id % 7 = 0 or props is null",
+)

@@ -252,3 +252,25 @@ _add(
     lambda s, d: G.changed_impact(edges(s, d), nodes(s, d).select("node", "rel"), nodes(s, d).where("rel in ('Brand#11', 'Brand#23')").select("rel"))[0],
     f"with recursive {_E}, r(root, node) as (select p_partkey, p_partkey from part where p_brand in ('Brand#11', 'Brand#23') union select r.root, e.src from r join e on e.dst = r.node), m as (select node, count(distinct root) as affected from r group by node) select node, affected from m where node not in (select dst from e)",
 )
+
+
+def _squares(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each order calls that whose key is its own squared, by a prime; some call the next as well."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"))
+    calls = o.withColumn("dst", F.col("src") * F.col("src") % 9973).unionByName(o.where("src % 50 = 1").withColumn("dst", F.col("src") + 1))
+    known = o.select(F.col("src").alias("node"))
+    return calls.join(known.select(F.col("node").alias("dst")), "dst", "left_semi"), known
+
+
+_add(
+    "graph_trace_status",
+    lambda s, d: G.trace_status(*_squares(s, d)),
+    """with recursive n as (select o_orderkey as node from orders), e as (select * from (select node as src, node * node % 9973 as dst from n union all select node, node + 1 from n where node % 50 = 1) where dst in (select node from n) and src <> dst),
+    t as (select node from n where node not in (select dst from e)), r(node) as (select node from t union select e.dst from r join e on e.src = r.node)
+    select node, case when node in (select node from t) then 'entry' when node in (select node from r) then 'traced' else 'orphaned' end as status from n""",
+)
+_add(
+    "folder_cycles",
+    lambda s, d: G.strong_components(QUERIES["folder_edges"](s, d).select(F.concat("src_dir", F.lit("/")).alias("src"), F.concat("dst_dir", F.lit("/")).alias("dst"))),
+    f"with recursive {_E}, {_N}, t as (select distinct a.dir || '/' as src, b.dir || '/' as dst from e join n a on a.node = e.src join n b on b.node = e.dst where a.dir <> b.dir), r(a, b) as (select src, dst from t union select r.a, t.dst from r join t on t.src = r.b), c as (select x.a as node, max(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by x.a) select node, component from c where component in (select component from c group by component having count(*) > 1)",
+)

@@ -177,3 +177,17 @@ _add(
     best as (select *, row_number() over (partition by a, b order by n desc, same desc, start_a, g desc) as rank from w where n >= 4 and same >= 0.92 * n - 1e-9)
     select a, b, start_a, start_a - g as start_b, n, same from best where rank = 1 and not exists (select 1 from alike where alike.a = best.a and alike.b = best.b)""",
 )
+
+
+def _mangled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    whole = F.concat(F.length(a), a, F.length(b), b)
+    name = F.when(F.col("p_size") % 5 == 0, "_Z99x").when(F.col("p_size") % 3 == 0, F.concat(F.lit("_Z"), F.length(a), a, F.lit("IiLb0EE"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("_ZN"), whole, F.lit("Ei"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+
+
+_add(
+    "demangled_names",
+    lambda s, d: _mangled(s, d).select("p_partkey", X.demangled(F.col("name")).alias("readable")),
+    "select p_partkey, case when p_size % 5 = 0 then '' when p_size % 3 = 0 then string_split(p_name, ' ')[1] || '<...>' when p_size % 3 = 1 then string_split(p_name, ' ')[1] || '::' || string_split(p_name, ' ')[-1] else '' end as readable from part",
+)

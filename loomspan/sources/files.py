@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +121,29 @@ def to_markdown(df: DataFrame) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
 
 
+def listed_paths(files: DataFrame) -> DataFrame:
+    """path, listed: the paths that project files (path, text) name in XML attributes and elements, or one on a line; each once."""
+    attribute = F.regexp_extract_all("text", F.lit(r"(?:path|file|name|href|Include)\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    element = F.regexp_extract_all("text", F.lit(r"<(?:path|file|File|Path)>\s*([^<]+?)\s*</"), F.lit(1))
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.regexp_replace(F.trim(x), r"^[\"']|[\"']$", "")), lambda x: (x != "") & ~F.startswith(x, F.lit("#")) & ~F.contains(x, F.lit("<")))
+    return files.select("path", F.explode(F.array_distinct(F.concat(attribute, element, lines))).alias("listed"))
+
+
+def to_doxygen(functions: DataFrame) -> dict[str, str]:
+    """File name to text: an index and a document for each source file of functions (rel, name, args, line)."""
+    x = lambda v: escape(str(v), {'"': "&quot;"})
+    by: dict[str, list] = {}
+    for r in _bounded(functions.orderBy("rel", "line", "name")):
+        by.setdefault(r["rel"], []).append(r)
+    ids = {rel: "file_" + hashlib.sha256(rel.encode()).hexdigest()[:16] for rel in by}
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n'
+    out = {"index.xml": head + "<doxygenindex>" + "".join(f'<compound refid="{ids[rel]}" kind="file"><name>{x(rel)}</name></compound>' for rel in by) + "</doxygenindex>\n"}
+    for rel, rows in by.items():
+        members = "".join(f'<memberdef kind="function" id="{ids[rel]}_{i}"><name>{x(r["name"])}</name><argsstring>{x(r["args"] or "")}</argsstring><location file="{x(rel)}" line="{r["line"]}"/></memberdef>' for i, r in enumerate(rows))
+        out[f"{ids[rel]}.xml"] = head + f'<doxygen><compounddef id="{ids[rel]}" kind="file"><compoundname>{x(rel)}</compoundname><sectiondef kind="func">{members}</sectiondef></compounddef></doxygen>\n'
+    return out
+
+
 def save_json(value: object, path: str) -> None:
     """A local JSON file that is either the old or the new one, whatever happens meanwhile."""
     fd, name = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import struct
 import sys
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import tensor as T
 from loomspan.plans import program
-from loomspan.sources import binary, files
+from loomspan.sources import binary, files, gpu
 from loomspan.streaming import incremental
 
 
@@ -240,3 +241,44 @@ def test_code_lines_made_alike(spark):
     got = [r[0] for r in df.select(normalised_code(F.col("v"))).collect()]
     assert got[0] == got[1] and got[2] == "puts(S)" and got[3] == "x=a-b"
     assert df.select(cross_language_score(F.lit(1.0), F.lit(0.4), F.lit(0.0))).first()[0] == pytest.approx(0.7)
+
+
+def elf_file(parts):
+    """A small 64-bit ELF file with these sections (name, bytes)."""
+    names, body, heads = b"\0", b"", [bytes(64)]
+    for name, data in [*parts, (".shstrtab", None)]:
+        at, names = len(names), names + name.encode() + b"\0"
+        data = names if data is None else data
+        heads.append(struct.pack("<IIQQQQIIQQ", at, 1, 0, 0, 64 + len(body), len(data), 0, 0, 1, 0))
+        body += data
+    ident = b"\x7fELF\x02\x01\x01" + bytes(9)
+    return ident + struct.pack("<HHIQQQIHHHHHH", 3, 62, 1, 0, 0, 64 + len(body), 0, 64, 56, 0, 64, len(heads), len(heads) - 1) + body + b"".join(heads)
+
+
+def test_device_code(spark):
+    cubin = b"\x7fELF" + bytes(3) + b"\x33" + bytes(10) + struct.pack("<H", 190) + bytes(8)
+    fat = gpu.FATBIN + cubin + b".text._ZN2ab5gemmXE\0.text._Z6kernelIfE\0" + b"\n.visible .entry plain ( .param\n.entry none;\n" + b"\x7fELF" + bytes(30)
+    name = b"main_cs\0"
+    spirv = struct.pack("<IIIII", gpu.SPIRV, 0x10000, 0, 9, 0) + struct.pack("<II", 2 << 16 | 17, 1) + struct.pack("<III", (3 + len(name) // 4) << 16 | 15, 5, 4) + name
+    rows = [("cuda", elf_file([(".text", b"x"), (".nv_fatbin", fat), (".rodata", spirv)])), ("vulkan", elf_file([(".rodata", b"pad!" + spirv), (".data", gpu.FATBIN + bytes(9))])), ("empty", elf_file([(".hip_fatbin", bytes(50))])), ("none", elf_file([(".text", spirv)])), ("cut", elf_file([])[:70]), ("text", b"hello"), ("null", None)]
+    out = gpu.device_code(spark.createDataFrame([(p, bytearray(c) if c is not None else None) for p, c in rows], "path string, content binary"))
+    got = {(r["path"], r["section"]): r for r in out.collect()}
+    assert set(got) == {("cuda", ".nv_fatbin"), ("vulkan", ".rodata"), ("vulkan", ".data"), ("empty", ".hip_fatbin"), ("cut", None)}
+    cuda = got["cuda", ".nv_fatbin"]
+    assert (cuda["backend"], cuda["status"], cuda["suspected"], cuda["confirmed"]) == ("cuda", "ok", 2, 1) and cuda["kernels"] == ["_Z6kernelIfE", "_ZN2ab5gemmXE", "plain"]
+    assert got["vulkan", ".rodata"]["kernels"] == ["main_cs"] and got["vulkan", ".data"]["status"] == "unreadable" == got["empty", ".hip_fatbin"]["status"]
+    assert got["cut", None]["status"].startswith("damaged")
+    assert {(r["name"], r["readable"]) for r in gpu.kernels(out).collect()} == {("_ZN2ab5gemmXE", "ab::gemmX"), ("_Z6kernelIfE", "kernel<...>"), ("plain", ""), ("main_cs", "")}
+
+
+def test_lists_of_files_and_xml(spark):
+    text = '<proj><File path="src/a.m"/><path> b dir/c.m </path></proj>\n"src/d.m"\n# note\nsrc/a.m\r\n\n'
+    got = files.listed_paths(spark.createDataFrame([("p", text), ("q", None), ("r", "")], "path string, text string")).collect()
+    assert sorted(map(tuple, got)) == [("p", "b dir/c.m"), ("p", "src/a.m"), ("p", "src/d.m")]
+    f = spark.createDataFrame([("a<b.c", "f", '(char *s = "x")', 3), ("a<b.c", "g", None, 9), ("z.c", "f", "()", 1)], "rel string, name string, args string, line int")
+    out = files.to_doxygen(f)
+    docs = {k: ElementTree.fromstring(v) for k, v in out.items()}
+    listed = {c.get("refid"): c.find("name").text for c in docs["index.xml"]}
+    assert sorted(listed.values()) == ["a<b.c", "z.c"] and {k for k in docs if k != "index.xml"} == {f"{i}.xml" for i in listed}
+    first = next(docs[f"{i}.xml"] for i, n in listed.items() if n == "a<b.c")
+    assert [(m.find("name").text, m.find("argsstring").text, m.find("location").get("line")) for m in first.iter("memberdef")] == [("f", '(char *s = "x")', "3"), ("g", None, "9")]
