@@ -20,24 +20,31 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def bm25(docs: DataFrame, query: str, k: int, log_idf: bool = False) -> DataFrame:
     """The k best documents. idf is max(0, (N - n + 0.5) / (n + 0.5)), without a logarithm unless log_idf; a term that the
-    query has q times counts q * q."""
+    query has q times counts q * q. Only tokens of the question leave a document's row."""
     spark = docs.sparkSession
-    terms = spark.range(1).select(F.explode(X.words(F.lit(query))).alias("token")).groupBy("token").agg((F.count("*") * F.count("*")).alias("qf"))
-    tokens = token_counts(docs)
-    lengths = docs.select(F.size(X.words(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    hits = tokens.join(F.broadcast(terms), "token")  # the terms of one question
+    asked = spark.range(1).select(X.words(F.lit(query)).alias("w")).first()["w"]
+    if not asked:
+        return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    own = docs.select("doc_id", X.words(F.col("text")).alias("w"))
+    lengths = own.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
+    terms = F.array(*map(F.lit, sorted(set(asked))))
+    hits = own.select("doc_id", F.size("w").cast("long").alias("dl"), F.explode(F.filter("w", lambda t: F.array_contains(terms, t))).alias("token"))
+    hits = hits.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), "token")  # a row a term
+    qf = F.create_map(*(F.lit(x) for t in sorted(set(asked)) for x in (t, asked.count(t) ** 2)))[F.col("token")]
     ratio = (F.lit(lengths["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.ln(1 + ratio) if log_idf else F.greatest(F.lit(0.0), ratio)
-    part = F.col("qf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(lengths["avgdl"] or 1.0)))
+    part = qf * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(lengths["avgdl"] or 1.0)))
     return scored.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 def hash_vectors(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, dim, v: the documents' hashed vectors in long form, of length one. The sum of a dimension counts, not its order."""
+    """doc_id, dim, v: the documents' hashed vectors in long form, of length one. Signs add up by dimension before the shuffle,
+    so that a document sends VECTOR rows at most and no words."""
     dim, sign = X.vector_cell(F.col("token"))
-    cells = token_counts(docs, text).select("doc_id", dim.alias("dim"), (sign * F.col("tf")).alias("v")).groupBy("doc_id", "dim").agg(F.sum("v").alias("v")).where("v <> 0")
+    tokens = docs.select("doc_id", F.explode(X.words(F.col(text))).alias("token"))
+    cells = tokens.select("doc_id", dim.alias("dim"), sign.alias("s")).groupBy("doc_id", "dim").agg(F.sum("s").alias("v")).where("v <> 0")
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")))
     return cells.select("doc_id", "dim", (F.col("v") / norm).alias("v"))
 

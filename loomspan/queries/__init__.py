@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer parts, as a file of one row group has; what follows is costly by the row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
     from . import arrays, attribution, facts, graphs, symbols, text, tools
 

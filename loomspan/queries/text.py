@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as X
 from loomspan.operators import retrieval as R
 
-from . import Query, table
+from . import Query, spread, table
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -32,7 +32,7 @@ QUESTION = "the thing that ering ering and thand of reth"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 _add(
