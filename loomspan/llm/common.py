@@ -20,7 +20,14 @@ _SHIPPED: dict[str, str] = {}
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table == "documents" else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer parts, as a file of one row group has; what follows is costly by the row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
 
 
 #: Rows in a batch that goes to Python, at most: rows are whole texts here, and both sides hold a batch.
