@@ -169,7 +169,7 @@ def search_lines(docs: DataFrame, pattern: str, regex: bool = False, ignore_case
     A pattern that matches nothing at all also hits inside characters of two UTF-16 units, as Java's does."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
     body = pattern if regex else "\\Q" + pattern + "\\E"
-    rx = ("(?i)" if ignore_case else "") + body
+    rx = ("(?iU)" if ignore_case else "(?U)") + body  # words and cases of all scripts
     hit = lines.where(F.col("content").rlike(rx)).withColumns({"found": F.regexp_extract_all("content", F.lit(rx), F.lit(0)), "between": F.split("content", rx, -1)})
     # an empty hit at a line's start has no piece before it
     before = F.when(F.size("between") <= F.size("found"), F.concat(F.array(F.lit("")), "between")).otherwise(F.col("between"))

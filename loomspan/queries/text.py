@@ -126,9 +126,9 @@ _add(
     "text_search",
     lambda s, d: R.search_lines(documents(s, d), r"\bpass\w*|\bsecret", regex=True),
     r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as content, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents),
-    h as (select doc_id, line, regexp_extract_all(content, '(?i)\bpass\w*|\bsecret') as m, string_split_regex(content, '(?i)\bpass\w*|\bsecret') as s from l where regexp_matches(content, '(?i)\bpass\w*|\bsecret')),
+    h as (select doc_id, line, regexp_extract_all(content, '(?i)(?:^|[^\p{L}\p{N}_])(pass[\p{L}\p{N}_]*|secret)') as m, regexp_extract_all(content, '(?i)(?:^|[^\p{L}\p{N}_])(pass[\p{L}\p{N}_]*|secret)', 1) as w, string_split_regex(content, '(?i)(?:^|[^\p{L}\p{N}_])(pass[\p{L}\p{N}_]*|secret)') as s from l where regexp_matches(content, '(?i)(?:^|[^\p{L}\p{N}_])(pass[\p{L}\p{N}_]*|secret)')),
     x as (select *, unnest(range(1, len(m) + 1)) as i from h)
-    select doc_id, line, cast(1 + length(array_to_string(s[1:i], '')) + length(array_to_string(m[1:i - 1], '')) as bigint) as col, m[i] as match from x""",
+    select doc_id, line, cast(1 + length(array_to_string(s[1:i], '')) + length(array_to_string(m[1:i], '')) - length(w[i]) as bigint) as col, w[i] as match from x""",
 )
 
 
