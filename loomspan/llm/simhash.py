@@ -30,6 +30,8 @@ THRESHOLD = 3
 SEED = 42
 #: Rows of an anchor compared by neighbouring positions; larger anchors by bytes of the other half.
 LAGS = 48
+#: Tasks over which the rows of a hub (a node with many edges, a component of many fingerprints) are dealt out.
+SALTS = 64
 #: Rows of anchors compared together.
 CHUNK = 1 << 18
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -210,6 +212,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return spread.mapInArrow(_compare, "u long, v long")
 
 
+def _with_least(df: DataFrame, key: str, value: str, salt: str, name: str) -> DataFrame:
+    """df and the least value of each key. A hub's rows are dealt out by the column salt: tasks find the least of a key and salt,
+    only those (SALTS at most) meet by key, and the answer returns to each salt."""
+    salted = df.withColumn("__s", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
+    parts = salted.groupBy(key, "__s").agg(F.min(value).alias("__m"))
+    least = parts.groupBy(key).agg(F.min("__m").alias(name), F.collect_list("__s").alias("__s")).select(key, name, F.explode("__s").alias("__s"))
+    return salted.join(least, [key, "__s"]).drop("__s")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) for every node of edges (u, v), by large-star and small-star rounds."""
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -221,10 +232,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        up = _with_least(both, "u", "v", "v", "m").where("v > u")
+        large = up.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = _with_least(large, "u", "v", "v", "m").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(small.where("u <> v").distinct(), "edges")
         now = state(edges)
         if now == before:
@@ -240,8 +250,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     comp = components(links(distinct))
     member = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     member = written(member, "members")
-    lowest = member.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_fp = member.join(lowest, "component").select("fp", "component_id")
+    by_fp = _with_least(member, "component", "low", "fp", "component_id").select("fp", "component_id")
     return fps.join(by_fp, "fp", "left").select("doc_id", "row_hash", "fp", "component_id")
 
 
