@@ -267,6 +267,19 @@ def test_large_anchor_and_anchors():
     assert (got == simhash.local_components(len(fp), a, b)).all()
 
 
+def test_components_of_hubs_and_paths(spark):
+    rng = np.random.default_rng(8)
+    hub = [(500, i) for i in range(0, 1000, 2) if i != 500]  # more edges than salts, on both sides of the hub
+    path = [(2001 + i, 2000 + i) for i in range(40)]
+    loose = [(int(a), int(b)) for a, b in rng.integers(3000, 3100, (60, 2)) if a != b]
+    edges = hub + path + loose + loose[:5]
+    a, b = np.array(edges).T
+    want = simhash.local_components(3100, a, b)
+    got = simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {(r["node"], r["component"]) for r in got} == {(int(n), int(want[n])) for n in np.unique(np.concatenate([a, b])) if want[n] != n}
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
 def test_one_of_each_group_stays(spark):
     rows = near_copies() + [(3, near_copies()[3][1], "a"), (None, "", "b"), (None, None, "b")]
     df = make(spark, rows)
