@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_change, scratch, ship, sliced, split_path, turn_to, width, written
+from .common import BATCH_ROWS, on_change, scratch, ship, sliced, split_path, texts_of, turn_to, width, written
 from .token_store import WordEncoder, default_tokenizer, gathered
 
 HELD_MOD, HELD_REST = 7, 2
@@ -44,8 +44,8 @@ CLASSES, SINGLE = 224, 160
 #: Ids with an embedding of their own; the others share RARE embeddings.
 INPUTS, RARE = 2048, 64
 SPAN, STEP = 32, 24
-#: Windows in a row of the table of training windows, at most.
-PART_WINDOWS = 1 << 14
+#: Windows in a row of the table of training windows, at most: readers and Arrow hold thousands of rows at once.
+PART_WINDOWS = 8
 #: Each round uses all of a task's windows once, at every size.
 ROUNDS, BATCH, RATE = 2, 48, 0.01
 #: A local run has so many steps or more, else fewer tasks train.
@@ -329,7 +329,7 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray) -> tuple[float, Params]:
     prob *= (real / (total * many)).astype(kind)[:, None]
     prob[rows[real], goal[real]] -= kind.type(1 / many)
     dh = prob @ np.ascontiguousarray(p["head"].T)
-    g_head = (prob.T @ h).T
+    g_head = h.T @ prob
     dh3 = wide(dh)
     ds = dh3 @ turned(v)
     dv = (a.transpose(0, 2, 1) @ dh3).reshape(-1, DIM)
@@ -521,14 +521,14 @@ def training_windows(docs: DataFrame, hot_name: str, tokenizer: str, shape: Shap
             spots = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
             x, y = tiles(ids, np.diff(spots), shape)
             order = np.random.default_rng(7).permutation(len(x))  # a step's windows come from many documents
-            for i in range(0, len(x), PART_WINDOWS):
-                part = order[i : i + PART_WINDOWS]
-                yield pa.RecordBatch.from_arrays([pa.array([x[part].tobytes() + y[part].tobytes()], pa.binary()), pa.array([len(part)], pa.int64())], ["windows", "n"])
+            x, y = x[order], y[order]
+            for i in range(0, len(x), PART_WINDOWS * BATCH_ROWS):
+                yield packed(x[i : i + PART_WINDOWS * BATCH_ROWS], y[i : i + PART_WINDOWS * BATCH_ROWS])
 
     return docs.select("doc_id", "text").mapInArrow(run, "windows binary, n long")
 
 
-def _arrays(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(raw: bytes | np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and classes (-1: none)."""
     x = np.frombuffer(raw, np.int16, n * SPAN).reshape(n, SPAN).astype(np.int64)
     y = np.frombuffer(raw, np.uint8, n * SPAN, 2 * n * SPAN).reshape(n, SPAN).astype(np.int64)
@@ -536,6 +536,34 @@ def _arrays(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
+def packed(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Rows of the table of training windows: of PART_WINDOWS windows each, and the rest in one."""
+    full = len(x) // PART_WINDOWS * PART_WINDOWS
+    sizes = np.full(-(-len(x) // PART_WINDOWS), PART_WINDOWS, np.int64)
+    sizes[full // PART_WINDOWS :] = len(x) - full
+    data = np.hstack([x[:full].view(np.uint8).reshape(-1, PART_WINDOWS * SPAN * 2), y[:full].reshape(-1, PART_WINDOWS * SPAN)]).tobytes()
+    data += x[full:].tobytes() + y[full:].tobytes()
+    offsets = np.concatenate([[0], np.cumsum(sizes * SPAN * 3)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), pa.array(sizes)], ["windows", "n"])
+
+
+def joined(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and classes (-1: none) of all windows of a batch of the table."""
+    data, at = texts_of(b.column(0))
+    n, xs, ys, i = b.column(1).to_numpy(), [], [], 0
+    for j in [*np.flatnonzero(n != PART_WINDOWS).tolist(), len(n)]:
+        full = data[at[i] : at[j]].reshape(-1, PART_WINDOWS * SPAN * 3)
+        xs.append(np.ascontiguousarray(full[:, : PART_WINDOWS * SPAN * 2]).view(np.int16).reshape(-1, SPAN).astype(np.int64))
+        ys.append(full[:, PART_WINDOWS * SPAN * 2 :].reshape(-1, SPAN).astype(np.int64))
+        ys[-1][ys[-1] == NO_CLASS] = -1
+        if j < len(n):
+            x, y = _arrays(data[at[j] : at[j + 1]], n[j])
+            xs.append(x)
+            ys.append(y)
+        i = j + 1
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def fit(windows: DataFrame, tasks: int) -> Params:
     """Bigram counts of all windows, then rounds of local training in so many tasks with averaged parameters."""
     spark = windows.sparkSession
@@ -546,10 +574,9 @@ def fit(windows: DataFrame, tasks: int) -> Params:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, windows_seen = np.zeros(cells, np.int64), 0
         for b in batches:
-            for raw, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                x, y = _arrays(raw.as_buffer(), n)
-                total += np.bincount((x * CLASSES + y)[y >= 0], minlength=cells)
-                windows_seen += n
+            x, y = joined(b)
+            total += np.bincount((x * CLASSES + y)[y >= 0], minlength=cells)
+            windows_seen += len(x)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]])], ["cell", "n"])
@@ -574,9 +601,9 @@ def fit(windows: DataFrame, tasks: int) -> Params:
 
             def stream() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 for b in batches:
-                    for w, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                        seen[0] += n
-                        yield from schedule(*_arrays(w.as_buffer(), n))
+                    x, y = joined(b)
+                    seen[0] += len(x)
+                    yield from schedule(x, y)
 
             found = adam(unpack(raw.value, p), stream(), rate, steps)  # noqa: B023
             if seen[0]:

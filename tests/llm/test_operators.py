@@ -176,6 +176,24 @@ def test_training_windows_hold_every_id(spark):
     assert got == want
 
 
+def test_training_windows_come_in_small_rows():
+    """A Parquet batch has 4,096 rows and an Arrow batch BATCH_ROWS, whatever their bytes; steps have whole batches of windows all the same."""
+    assert attention_lm.PART_WINDOWS * attention_lm.SPAN * 3 * 4096 <= 4 << 20
+    x = np.arange(133 * attention_lm.SPAN, dtype=np.int16).reshape(133, -1) % 2000
+    y = (x % 220).astype(np.uint8)
+    y[-1, 5:] = attention_lm.NO_CLASS
+    sizes = [attention_lm.PART_WINDOWS] * (133 // attention_lm.PART_WINDOWS)
+    sizes += [133 - sum(sizes), 0]
+    cuts = np.cumsum([0, *sizes])
+    raw = [x[i:j].tobytes() + y[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    got = attention_lm.joined(pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(sizes, pa.int64())], ["windows", "n"]))
+    assert (got[0] == x).all() and (got[1] == np.where(y == attention_lm.NO_CLASS, -1, y.astype(int))).all()
+    assert [len(w) for w, _ in attention_lm.schedule(*got)] == [48, 48, 37]
+    again = attention_lm.joined(attention_lm.packed(x, y))
+    assert (again[0] == got[0]).all() and (again[1] == got[1]).all()
+    assert all(len(w) == 0 for w in attention_lm.joined(pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int64())], ["windows", "n"])))
+
+
 def test_held_words_do_not_change_the_scores(spark):
     docs = make(spark, sample(n=60) + [(800, "q" * 70 + " alpha", "a")])
     key = lambda r: (str(r[0]), r[2], round(r[5], 6))
