@@ -7,7 +7,7 @@ word, occurrences) with the counts. Subword ids are counted over all words, in a
 
 The model reads subword ids of a public vocabulary: embeddings, one causal attention head with a bias by distance, a residual
 sum, and an adaptive softmax over CLASSES classes (the most frequent ids each, the others in clusters by what stands beside them in
-words, with their share of the class as counted). It starts from the low-rank factors of the bigram log ratios of all training ids and
+words, with their share of the class as counted) in two levels: GROUPS groups of alike classes, and the classes of a group. It starts from the low-rank factors of the bigram log ratios of all training ids and
 is trained by local Adam on every task's windows with parameters averaged between rounds. Training windows of SPAN ids lie side by
 side over the whole of every training document, its end included. A text is scored in windows of SPAN ids
 that overlap by SPAN - STEP: each id is scored once, with SPAN - STEP to SPAN ids of context where the text has them; all
@@ -41,6 +41,8 @@ HELD_MOD, HELD_REST = 7, 2
 HOT_WORDS, HOT_BYTES = 1 << 18, 64
 DIM = 24
 CLASSES, SINGLE = 224, 160
+#: The softmax over classes has two levels: groups of neighbouring classes, and the classes of a group.
+GROUPS = 8
 #: Ids with an embedding of their own; the others share RARE embeddings.
 INPUTS, RARE = 2048, 64
 SPAN, STEP = 32, 24
@@ -50,6 +52,8 @@ PART_WINDOWS = 8
 ROUNDS, BATCH, RATE = 2, 48, 0.01
 #: A local run has so many steps or more, else fewer tasks train.
 TASK_STEPS = 100
+#: Numbers of a model that a step changes together: what belongs to them stays in a core's cache.
+ADAM_PART = 1 << 13
 #: Ids scored together, which bounds the arrays of positions.
 PART_IDS = 300_000
 END = b"\n"  # not a word, as it is white space
@@ -151,7 +155,7 @@ def choose_hot(counts: DataFrame, tokenizer: str, most: int) -> Hot:
 
 @dataclass
 class Shape:
-    """What is fixed about the model: the class and row of each id, and an id's share of its class (log10)."""
+    """What is fixed about the model: the class and row of each id, and an id's share of its class (log10). Neighbouring classes are alike."""
 
     size: int
     end: int
@@ -191,6 +195,21 @@ def _clusters(seen: np.ndarray, mass: np.ndarray, k: int) -> np.ndarray:
     return group
 
 
+def _alike(seen: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """The classes in an order in which each GROUPS-th part stands beside like ids: halved again and again along the main axis of root shares."""
+    x = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1))
+
+    def halves(own: np.ndarray, parts: int) -> list[np.ndarray]:
+        if parts == 1:
+            return [own]
+        z = (x[own] - np.average(x[own], axis=0, weights=mass[own])) * np.sqrt(mass[own])[:, None]
+        axis = np.linalg.svd(z, full_matrices=False)[2][0]
+        own = own[np.argsort(x[own] @ axis, kind="stable")]
+        return [*halves(own[: len(own) // 2], parts // 2), *halves(own[len(own) // 2 :], parts // 2)]
+
+    return np.concatenate(halves(np.arange(len(x)), GROUPS))
+
+
 def _shape(n: np.ndarray, beside: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Shape:
     """From the counts of all ids, of which the last is the end; beside gives what stands beside chosen ids, given these and the heads."""
     size = len(n)
@@ -199,7 +218,13 @@ def _shape(n: np.ndarray, beside: Callable[[np.ndarray, np.ndarray], np.ndarray]
     classes = np.full(size, CLASSES - 1, np.int64)  # the last class is for ids without an embedding of their own
     classes[order[:SINGLE]] = np.arange(SINGLE)
     tail = order[SINGLE:INPUTS]
-    classes[tail] = SINGLE + _clusters(beside(tail, order[:SINGLE]), mass[tail], CLASSES - SINGLE - 1)
+    seen = beside(order[:INPUTS], order[:SINGLE])
+    classes[tail] = SINGLE + _clusters(seen[SINGLE:], mass[tail], CLASSES - SINGLE - 1)
+    of_class = np.zeros((CLASSES, seen.shape[1]))
+    np.add.at(of_class, classes[order[:INPUTS]], seen)
+    place = np.empty(CLASSES, np.int64)
+    place[_alike(of_class, np.bincount(classes, mass, CLASSES))] = np.arange(CLASSES)
+    classes = place[classes]
     rows = np.empty(size, np.int64)
     rows[order[:INPUTS]] = np.arange(INPUTS)
     rows[order[INPUTS:]] = INPUTS + order[INPUTS:] % RARE
@@ -262,16 +287,23 @@ def corpus_shape(counts: DataFrame, tokenizer: str, ends: int, size: int) -> Sha
 
 Params = dict[str, np.ndarray]
 PAD = INPUTS + RARE
+WITHIN = CLASSES // GROUPS
 
 
 def initial(bigrams: np.ndarray) -> Params:
-    """From counts (row, class): the bias is the class's log frequency, embeddings and head the factors of the log ratios."""
+    """From counts (row, class): biases are the log frequencies of classes in their groups and of groups, embeddings and head the factors
+    of the log ratios. Columns of head and bias: the classes, group by group, then the groups."""
     q = (bigrams.sum(axis=0) + 1) / (bigrams.sum() + CLASSES)
     n = bigrams + 30 * q  # rare rows lean on the unigram
-    p = n / n.sum(axis=1, keepdims=True)
+
+    def levels(of: np.ndarray) -> np.ndarray:
+        group = of.reshape(*of.shape[:-1], GROUPS, WITHIN).sum(axis=-1)
+        return np.concatenate([of / np.repeat(group, WITHIN, axis=-1), group], axis=-1)
+
+    p, usual = levels(n / n.sum(axis=1, keepdims=True)), levels(q)
     weight = np.sqrt(bigrams.sum(axis=1) + 1)[:, None]
-    back = np.sqrt(q)[None, :]
-    u, s, v = np.linalg.svd(np.clip(np.log(p / q), -6, 6) * weight * back, full_matrices=False)
+    back = np.sqrt(np.concatenate([q, usual[CLASSES:]]))[None, :]
+    u, s, v = np.linalg.svd(np.clip(np.log(p / usual), -6, 6) * weight * back, full_matrices=False)
     u, s, v = u[:, :DIM], s[:DIM], v[:DIM]
     scale = np.sqrt(s / np.sqrt(len(bigrams)))
     rng = np.random.default_rng(7)
@@ -279,71 +311,117 @@ def initial(bigrams: np.ndarray) -> Params:
     return {
         k: x.astype(np.float32)
         for k, x in {
-            "embed": u * np.sqrt(s * np.sqrt(len(bigrams))) / weight, "head": scale[:, None] * v / back, "bias": np.log(q),
+            "embed": u * np.sqrt(s * np.sqrt(len(bigrams))) / weight, "head": scale[:, None] * v / back, "bias": np.log(usual),
             "wq": eye + rng.normal(0, 0.02, (DIM, DIM)), "wk": eye * 0.5 + rng.normal(0, 0.02, (DIM, DIM)), "wv": rng.normal(0, 0.02, (DIM, DIM)), "far": np.zeros(SPAN),
         }.items()
     }
 
 
 _AGE = np.arange(SPAN)[:, None] - np.arange(SPAN)[None, :]
-_CAUSAL = _AGE >= 0
+_LOOK = np.where(_AGE < 0, SPAN, _AGE)  # the place after all ages is that of what is yet to come
+_PAIRS = np.arange(PAD)[:, None] * (DIM // 2) + np.arange(DIM // 2)  # an embedding's cells, two by two
+_IN = np.tile(np.arange(WITHIN), GROUPS)
 
 
-def _safe_exp(s: np.ndarray, bound: float, ones: np.ndarray) -> np.ndarray:
-    """s becomes its exp, and the sums of its rows are returned; where no value can pass bound 80, no maximum needs to be taken off."""
-    if not bound < 80:
-        s -= s.max(axis=-1, keepdims=True)
-    np.exp(s, out=s)
-    return s @ ones
+def _fits(z: np.ndarray, more: float = 0.0) -> bool:
+    """Whether no exponential of z, moved by more, can overflow or vanish: then no maximum needs to be taken off its rows."""
+    return not z.size or (float(z.max()) + more < 80 and float(z.min()) - more > -80)
 
 
-def _norm(x: np.ndarray, axis: int = -1) -> float:
-    return float(np.sqrt((x * x).sum(axis=axis)).max())
+def _below(z: np.ndarray) -> np.ndarray:
+    """z, with its rows' maxima taken off in place where its exponentials need it."""
+    if not _fits(z):
+        z -= z.max(axis=-1, keepdims=True)
+    return z
+
+
+def head_parts(p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The head of groups (DIM + 1, GROUPS) and those of their classes (GROUPS, DIM + 1, WITHIN); the last row is the bias."""
+    head = np.vstack([p["head"], p["bias"][None]])
+    return np.ascontiguousarray(head[:, CLASSES:]), np.ascontiguousarray(head[:, :CLASSES].reshape(-1, GROUPS, WITHIN).transpose(1, 0, 2))
+
+
+def by_class(goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Places with a class (none: -1) in the order of classes, their classes, and (group, begin, end) of the groups that occur."""
+    order = np.argsort(goal.astype(np.int16), kind="stable")
+    classes = goal.take(order)
+    ends = np.searchsorted(classes, np.arange(GROUPS + 1) * WITHIN).tolist()
+    if first := ends[0]:
+        order, classes = order[first:], classes[first:]
+    return order, classes, [(g, ends[g] - first, ends[g + 1] - first) for g in range(GROUPS) if ends[g] < ends[g + 1]]
 
 
 def gradients(p: Params, x: np.ndarray, y: np.ndarray) -> tuple[float, Params]:
-    """The mean log loss of classes y (-1: none) after rows x, windows of one length, and its gradients."""
+    """The mean log loss of classes y (-1: none) after rows x, windows of one length, and its gradients.
+
+    A class's probability is its group's times its own in the group, so a place costs GROUPS + WITHIN exponentials instead of CLASSES.
+    Queries meet embeddings through wq wk', and wv is applied to averages of embeddings."""
     b, t = x.shape
-    kind, goal = p["embed"].dtype, y.ravel()
-    causal, age = _CAUSAL[:t, :t], _AGE[:t, :t]
+    kind, row, look = p["embed"].dtype, x.ravel(), _LOOK[:t, :t]
     root = kind.type(1 / math.sqrt(DIM))
     wide = lambda z: z.reshape(b, t, -1)
-    turned = lambda z: np.ascontiguousarray(z.transpose(0, 2, 1))
-    e = p["embed"].take(x.ravel(), axis=0)
-    q, k, v = e @ (p["wq"] * root), wide(e @ p["wk"]), wide(e @ p["wv"])
-    a = wide(q) @ turned(k)
-    a += np.where(causal, p["far"][np.maximum(age, 0)], kind.type(-1e9))
-    a /= _safe_exp(a, _norm(q) * _norm(k) + float(np.abs(p["far"]).max()), np.ones((t, 1), kind))
-    h = np.ones((b * t, DIM + 1), kind)  # the last column takes the bias
-    np.add(e, (a @ v).reshape(-1, DIM), out=h[:, :DIM])
-    head = np.vstack([p["head"], p["bias"][None]])
-    prob = h @ head
-    rows, real = np.arange(b * t), goal >= 0
-    many = int(real.sum())
-    bound = _norm(h) * _norm(head, 0)
-    if not bound < 80:
-        prob -= prob.max(axis=1, keepdims=True)
-    meant = prob[rows, goal]
-    total = _safe_exp(prob, 0, np.ones(len(head.T), kind))
-    loss = float((np.log(total) - meant)[real].mean())
-    prob *= (real / (total * many)).astype(kind)[:, None]
-    prob[rows[real], goal[real]] -= kind.type(1 / many)
-    dh = prob @ np.ascontiguousarray(p["head"].T)
-    g_head = h.T @ prob
-    dh3 = wide(dh)
-    ds = dh3 @ turned(v)
-    dv = (a.transpose(0, 2, 1) @ dh3).reshape(-1, DIM)
+    e = p["embed"].take(row, axis=0)
+    e3 = wide(e)
+    turned = np.ascontiguousarray(e3.transpose(0, 2, 1))
+    meet = (p["wq"] * root) @ p["wk"].T
+    q = e @ meet
+    a = wide(q) @ turned
+    small = _fits(a, float(np.abs(p["far"]).max()))
+    a += np.append(p["far"], kind.type(-1e9)).take(look)
+    if not small:
+        a -= a.max(axis=-1, keepdims=True)
+    np.exp(a, out=a)
+    one = np.ones((t, 1), kind)
+    a /= a @ one
+    mean = (a @ e3).reshape(-1, DIM)
+    h = mean @ p["wv"]
+    h += e
+
+    order, classes, parts = by_class(y.ravel())
+    many = len(order)
+    hs = np.ones((many, DIM + 1), kind)  # the last column takes the bias
+    hs[:, :DIM] = h.take(order, axis=0)
+    outer, inner = head_parts(p)
+    place = _IN.take(classes)
+    at = np.arange(0, many * WITHIN, WITHIN) + place
+    at_group = np.arange(0, many * GROUPS, GROUPS) + (classes - place) // WITHIN
+    groups, own = hs @ outer, np.empty((many, WITHIN), kind)
+    for g, i, j in parts:
+        np.matmul(hs[i:j], inner[g], out=own[i:j])
+    meant = _below(own).ravel().take(at) + _below(groups).ravel().take(at_group)
+    total, each = np.exp(groups, out=groups) @ np.ones(GROUPS, kind), np.exp(own, out=own) @ np.ones(WITHIN, kind)
+    loss = float((np.log(total) + np.log(each) - meant).mean())
+    share = kind.type(1 / many)
+    groups *= (share / total)[:, None]
+    own *= (share / each)[:, None]
+    groups.ravel()[at_group] -= share
+    own.ravel()[at] -= share
+    dhs, g_inner = np.zeros((many + 1, DIM), kind), np.zeros_like(inner)  # the last is for places without a class
+    back = np.ascontiguousarray(inner[:, :DIM].transpose(0, 2, 1))
+    for g, i, j in parts:
+        np.matmul(own[i:j], back[g], out=dhs[i:j])
+        np.matmul(hs[i:j].T, own[i:j], out=g_inner[g])
+    dhs[:many] += groups @ np.ascontiguousarray(outer[:DIM].T)
+    g_head = np.hstack([g_inner.transpose(1, 0, 2).reshape(DIM + 1, CLASSES), hs.T @ groups])
+    back_at = np.full(b * t, many)
+    back_at[order] = np.arange(many)
+    de = dhs.take(back_at, axis=0)
+
+    g_wv, dmean = mean.T @ de, wide(de @ p["wv"].T)
+    de += (a.transpose(0, 2, 1) @ dmean).reshape(-1, DIM)
+    ds = dmean @ turned
     ds *= a
-    a *= ds @ np.ones((t, 1), kind)
+    a *= ds @ one
     ds -= a
-    far = np.bincount(np.maximum(age, 0).ravel(), (ds.sum(axis=0) * causal).ravel(), SPAN)
-    dq, dk = (ds @ k).reshape(-1, DIM) * root, (ds.transpose(0, 2, 1) @ wide(q)).reshape(-1, DIM)
-    g = {"head": g_head[:DIM], "bias": g_head[DIM], "far": far.astype(kind), "wq": e.T @ dq, "wk": e.T @ dk, "wv": e.T @ dv}
-    dh += dq @ p["wq"].T
-    dh += dk @ p["wk"].T
-    dh += dv @ p["wv"].T
-    cells = (x.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-    g["embed"] = np.bincount(cells, dh.ravel(), p["embed"].size).reshape(-1, DIM).astype(kind)
+    far = np.bincount(look.ravel(), np.ones(b, kind) @ ds.reshape(b, -1), SPAN + 1)[:SPAN]
+    de += (ds.transpose(0, 2, 1) @ wide(q)).reshape(-1, DIM)
+    dq = (ds @ e3).reshape(-1, DIM)
+    de += dq @ meet.T
+    g_meet = e.T @ dq * root
+    embed = np.zeros_like(p["embed"])
+    pair = np.result_type(kind, np.complex64)  # two cells are added at once
+    np.add.at(embed.view(pair).ravel(), _PAIRS.take(row, axis=0).ravel(), de.view(pair).ravel())
+    g = {"embed": embed, "head": g_head[:DIM], "bias": g_head[DIM], "far": far, "wq": g_meet @ p["wk"], "wk": g_meet.T @ p["wq"], "wv": g_wv}
     return loss, g
 
 
@@ -354,26 +432,32 @@ def schedule(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
 
 def adam(p: Params, windows: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, steps: int | None = None) -> Params:
     """A step for each of the windows' batches in order; steps is their number, where they are no list."""
-    p = {k: x.copy() for k, x in p.items()}
-    m, v, room = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(3))
+    cuts = np.cumsum([x.size for x in p.values()])[:-1]
+    all_ = np.concatenate([x.ravel() for x in p.values()])  # one array, of which p has views
+    p = {k: part.reshape(x.shape) for (k, x), part in zip(p.items(), np.split(all_, cuts), strict=True)}
+    m, v, g = (np.zeros_like(all_) for _ in range(3))
+    room = np.empty(min(len(all_), ADAM_PART), all_.dtype)
+    parts = [(*(z[i : i + ADAM_PART] for z in (all_, m, v, g)), room[: len(all_) - i]) for i in range(0, len(all_), ADAM_PART)]
+    into = dict(zip(p, np.split(g, cuts), strict=True))
     steps = len(windows) if steps is None else steps
     for i, batch in enumerate(windows):
-        _, g = gradients(p, *batch)
+        for k, x in gradients(p, *batch)[1].items():
+            into[k][:] = x.ravel()
         now = rate * min(1.0, (i + 1) / 10) * (1 - 0.9 * min(1.0, i / steps))
         now *= math.sqrt(1 - 0.99 ** (i + 1)) / (1 - 0.9 ** (i + 1))
         small = 1e-8 * math.sqrt(1 - 0.99 ** (i + 1))
-        for k, w in room.items():
-            m[k] *= 0.9
-            m[k] += np.multiply(g[k], 0.1, out=w)
-            v[k] *= 0.99
-            np.multiply(g[k], g[k], out=w)
-            w *= 0.01
-            v[k] += w
-            np.sqrt(v[k], out=w)
+        for q, first, second, change, w in parts:
+            first *= 0.9
+            first += np.multiply(change, 0.1, out=w)
+            second *= 0.99
+            change *= change
+            change *= 0.01
+            second += change
+            np.sqrt(second, out=w)
             w += small
-            np.divide(m[k], w, out=w)
+            np.divide(first, w, out=w)
             w *= now
-            p[k] -= w
+            q -= w
     return p
 
 
@@ -403,12 +487,10 @@ class Scorer:
         self.v = np.hstack([np.vstack([e @ p["wv"], zero]), np.ones_like(one)]).astype(np.float32)  # the last column sums the weights
         age = (np.arange(SPAN - STEP, SPAN)[:, None] - np.arange(SPAN)[None, :])
         self.far = np.where(age >= 0, p["far"][np.maximum(age, 0)], np.float32(-30000)).astype(np.float32)
-        self.head, self.shape = np.vstack([p["head"], p["bias"][None]]).astype(np.float32), shape  # the bias goes with the column of ones
+        (self.outer, self.inner), self.shape = head_parts(p), shape  # the biases go with the column of ones
         norm = lambda x, axis=1: float(np.sqrt((x * x).sum(axis=axis)).max())
         # where no score can overflow, none needs its row's maximum taken off
         self.small = norm(self.q[:, :-1]) * norm(self.k[:, :-1]) + float(np.abs(p["far"]).max()) < 60
-        self.plain = (norm(self.embed) + norm(self.v[:, :-1])) * norm(p["head"], 0) + float(np.abs(p["bias"]).max()) < 80
-        self.ones = np.ones(CLASSES, np.float32)
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each document, whose ids come one document after another (the ends are added here)."""
@@ -426,8 +508,8 @@ class Scorer:
         rows[last] = PAD
         starts = np.repeat(begin - (SPAN - STEP), windows) + STEP * (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))
         owner, out = np.repeat(np.arange(len(counts)), windows), np.zeros(len(counts))
-        wide, late, most = np.arange(SPAN), SPAN - STEP, 64
-        held = np.empty((most * STEP, CLASSES), np.float32)
+        wide, late, most = np.arange(SPAN), SPAN - STEP, 128
+        held = np.empty((most * STEP, WITHIN), np.float32)
         for i in range(0, len(starts), most):
             x = rows[starts[i : i + most, None] + wide]
             y, n = goals[starts[i : i + most, None] + wide[late:]].ravel(), len(x)
@@ -442,13 +524,17 @@ class Scorer:
             total[total == 0] = 1  # after a document's end there is nothing to attend to
             h /= total
             h += self.embed.take(own, axis=0)
-            logits = np.matmul(h, self.head, out=held[: len(h)])
-            if not self.plain:
-                logits -= logits.max(axis=1, keepdims=True)
-            got = logits[np.arange(len(y)), s.classes[y]]
-            np.exp(logits, out=logits)
-            each = (got - np.log(logits @ self.ones)) / math.log(10) + s.share[y]
-            each[y < 0] = 0
+            order, classes, parts = by_class(np.where(y < 0, -1, s.classes[y]))
+            hs = h.take(order, axis=0)
+            groups, own = hs @ self.outer, held[: len(order)]
+            for g, j, k in parts:
+                np.matmul(hs[j:k], self.inner[g], out=own[j:k])
+            got = _below(own).ravel().take(np.arange(0, own.size, WITHIN) + classes % WITHIN)
+            got += _below(groups).ravel().take(np.arange(0, groups.size, GROUPS) + classes // WITHIN)
+            got -= np.log(np.exp(groups, out=groups) @ np.ones(GROUPS, np.float32))
+            got -= np.log(np.exp(own, out=own) @ np.ones(WITHIN, np.float32))
+            each = np.zeros(len(y))
+            each[order] = got / math.log(10) + s.share[y[order]]
             out += np.bincount(owner[i : i + most], each.reshape(-1, STEP).sum(axis=1, dtype=np.float64), len(counts))
         return out
 

@@ -225,6 +225,41 @@ def test_gradients():
         assert g[k][at] == pytest.approx((up - attention_lm.gradients(q, x, y)[0]) / 2e-4, rel=2e-2, abs=2e-5)
 
 
+def test_a_class_costs_its_group_and_its_place_in_it():
+    """Probabilities of all classes add up to 1, and no array of a step has a column for each class and a row for each place."""
+    rng = np.random.default_rng(2)
+    p = attention_lm.initial(rng.random((attention_lm.INPUTS + attention_lm.RARE, attention_lm.CLASSES)))
+    p["wq"] *= 3
+    x = rng.integers(0, attention_lm.INPUTS, (1, 5))
+    total = 0.0
+    for c in range(attention_lm.CLASSES):
+        y = np.full((1, 5), -1)
+        y[0, 4] = c
+        total += np.exp(-attention_lm.gradients(p, x, y)[0])
+    assert total == pytest.approx(1, rel=1e-4)
+    goal = np.array([5, -1, 223, 0, 28, 5])
+    order, classes, parts = attention_lm.by_class(goal)
+    assert classes.tolist() == [0, 5, 5, 28, 223] and (goal[order] == classes).all() and 1 not in order
+    assert [(g, classes[i:j].tolist()) for g, i, j in parts] == [(0, [0, 5, 5]), (1, [28]), (7, [223])]
+    assert attention_lm.GROUPS + attention_lm.WITHIN < attention_lm.CLASSES / 4
+
+
+def test_adam_in_parts_is_adam(monkeypatch):
+    rng = np.random.default_rng(4)
+    p = {"a": rng.normal(size=(7, 3)), "b": rng.normal(size=5)}
+    steps = [{k: rng.normal(size=x.shape) for k, x in p.items()} for _ in range(6)]
+    monkeypatch.setattr(attention_lm, "gradients", lambda _, x, y: (0.0, {k: g.copy() for k, g in steps[x].items()}))
+    monkeypatch.setattr(attention_lm, "ADAM_PART", 4)
+    got = attention_lm.adam(p, [(i, None) for i in range(6)], 0.01)
+    for k, x in p.items():
+        x, m, v = x.copy(), 0, 0
+        for i, g in enumerate(steps):
+            m, v = 0.9 * m + 0.1 * g[k], 0.99 * v + 0.01 * g[k] ** 2
+            now = 0.01 * min(1.0, (i + 1) / 10) * (1 - 0.9 * i / 6)
+            x -= now * (m / (1 - 0.9 ** (i + 1))) / (np.sqrt(v / (1 - 0.99 ** (i + 1))) + 1e-8)
+        assert got[k] == pytest.approx(x, rel=1e-9)
+
+
 def test_windows_score_like_one_text():
     """Scoring by windows is a distribution over the next class whose context is the window."""
     rng = np.random.default_rng(1)
